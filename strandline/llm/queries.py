@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .piece_dropout import encode_pieces
+from .secret_scan import KINDS, find_secrets
+from .token_files import token_positions, write_token_files
+
+DROPOUT, DROPOUT_SEED = 0.1, 20261
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +26,39 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "carried.text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_exact_dedup": op7_exact_dedup}
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file, as the installed package knows it: the path is a parameter of every operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), DROPOUT, DROPOUT_SEED)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), END_ID)
+    return token_positions(files)
+
+
+def _joined(spans: str, keep: str = "true") -> Column:
+    return F.expr(f"array_join(transform(filter({spans}, x -> {keep}), x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    base = F.sha2(_joined("spans", "x.kind in ('assign', 'access', 'hex')"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts[:3], base, _joined("spans").alias("spans"), *counts[3:])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_piece_dropout": op6_piece_dropout,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_token_files": op9_token_files,
+    "op10_secret_scan": op10_secret_scan,
+}
 
 SQL: dict[str, str] = {
     "op7_exact_dedup": """
