@@ -11,7 +11,7 @@ the table, and then decompresses the frames it wants alone. Files are rows of a
 payload): a cluster's executors share no other place; export() writes them as files to a mounted folder.
 
 Encoding reads each text once. Texts are cut at ASCII white space, at which the tokenizer never joins, and the library
-encodes each distinct piece once per worker while a cache of bounded size holds it. Range partitioning and sorting by
+encodes each distinct piece once per worker as long as a cache of bounded size holds it. Range partitioning and sorting by
 id are Spark's own and spill; a file is closed at `file_bytes`, so memory is bounded by that and by one document.
 
 Defined results: a null text is an empty one (the end id alone); null ids come first; equal ids follow each other,
@@ -21,6 +21,7 @@ ordered by checksum and length. An empty table gives no files and no rows.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,12 +36,18 @@ SKIPPABLE, MAGIC = 0x184D2A5E, 0x5344544B
 ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("frame_bytes", "<u8"), ("n_tokens", "<u8"), ("crc32", "<u4")])
 FOOTER = struct.Struct("<IBI")
 FILE_BYTES = 8 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 TEXTS_AT_ONCE_BYTES = 4 << 20
 
 
-class PieceCache(dict):
-    """piece -> its ids as little-endian bytes; emptied when `most` pieces are held."""
+class PieceCache:
+    """piece -> its ids as little-endian bytes. Two generations of at most half of `most` pieces: what is used stays.
+
+    Pieces of letters, with or without ASCII marks behind them, make a known number of words for the tokenizer. Many
+    are encoded as one text, whose ids fall into words at the ids that end one; any other piece is encoded alone.
+    """
+
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, width: int, most: int = CACHE_PIECES):
         import os
@@ -48,16 +55,51 @@ class PieceCache(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), f"<u{width}", most
-
-    def learn(self, pieces: set[bytes]) -> None:
-        missing = [p for p in pieces if p not in self]
-        if len(self) + len(missing) > self.most:
-            self.clear()
-            missing = list(pieces)
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)
-        self.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(missing, found))
+        self.tokenizer, self.kind, self.width, self.most = Tokenizer.from_file(path), f"<u{width}", width, most // 2
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of the ids that end a word
+        self.last[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def words(self, piece: bytes) -> int:
+        """How many words the tokenizer makes of it; 0 if that isn't plain."""
+        bare = piece.rstrip(self.MARKS)
+        if bare and not bare.isalpha():
+            s = bare.decode()
+            if not (s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s)):
+                return 0
+        return bool(bare) + (len(bare) < len(piece))
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """A dictionary that holds them all."""
+        missing = pieces - self.young.keys()
+        if len(self.young) + len(missing) > self.most:
+            self.young, self.old = {}, self.young
+            missing = pieces
+        new = []
+        for p in missing:
+            if (ids := self.old.get(p)) is None:
+                new.append(p)
+            else:
+                self.young[p] = ids
+        plain = [(p, k) for p in new if (k := self.words(p))] if self.last.any() else []
+        alone = [p for p in new if not self.words(p)] if plain else new
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([p for p, _ in some]).decode()], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            counts = np.cumsum([k for _, k in some])
+            if len(stops) != counts[-1]:
+                alone += [p for p, _ in some]
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (p, _), stop in zip(some, (stops[counts - 1] * self.width).tolist()):
+                self.young[p] = raw[begin:stop]
+                begin = stop
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)):
+            self.young[p] = np.array(e.ids, self.kind).tobytes()
+        return self.young
 
 
 _caches: dict = {}
@@ -94,8 +136,7 @@ def encode_frames(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_c
             for begin, stop in _runs(sizes, TEXTS_AT_ONCE_BYTES):
                 split = [t.split() for t in texts.slice(begin, stop - begin).to_pylist()]
                 n, crc, frames = [], [], []
-                cache.learn(set().union(*split))
-                get = cache.__getitem__
+                get = cache.learn(set().union(*split)).__getitem__
                 for words in split:
                     raw = b"".join(map(get, words)) + end
                     n.append(len(raw) // width)
