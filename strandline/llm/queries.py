@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kneser_ney
 from .exact_dedup import exact_groups
+from .minhash_dedup import near_groups
+from .mixing import mixing_decisions
 from .piece_dropout import encode_pieces
 from .secret_scan import KINDS, find_secrets
 from .token_files import token_positions, write_token_files
@@ -26,6 +29,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "carried.text_sha256")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_decisions(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> str:
     """A public tokenizer's file, as the installed package knows it: the path is a parameter of every operator."""
     import public_tokenizers
@@ -54,8 +70,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_mixing": op3_mixing,
     "op6_piece_dropout": op6_piece_dropout,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_token_files": op9_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
