@@ -116,6 +116,27 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         i = j
 
 
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after another, and each text's number of words."""
+    found, counts, i = [np.empty(0, np.uint64)], [], 0
+    while i < len(texts):
+        if len(texts[i]) > CHUNK:
+            parts = [_word_hashes(np.frombuffer(p, np.uint8))[0] for p in _pieces(texts[i].lower())]
+            found += parts
+            counts.append(sum(map(len, parts)))
+            i += 1
+            continue
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
+            size += len(texts[j]) + 1
+            j += 1
+        words, at = _word_hashes(np.frombuffer(b" ".join(texts[i:j]).lower(), np.uint8))
+        found.append(words)
+        counts += np.diff(np.searchsorted(at, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[i:j]]))))).tolist()
+        i = j
+    return np.concatenate(found), np.array(counts, np.int64)
+
+
 def _shingles(words: np.ndarray) -> np.ndarray:
     n = len(words) - WORDS + 1
     if n < 1:
