@@ -18,19 +18,81 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 LITERAL = "\x00▁"  # a symbol for U+2581 in the text: no piece holds it
 VARIANTS = 4
-CACHE_UNITS = 250_000  # over all variants
-TEXTS_AT_ONCE = 500
-_M64 = (1 << 64) - 1
+CACHE_UNITS = 1_000_000  # over all variants
+SHORT = 24
+TEXTS_AT_ONCE = 1000
+_M64, _NEVER, _NONE = (1 << 64) - 1, 1 << 62, (1 << 31) - 1
+_K0, _K1, _K2, _K3, _K4 = 0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def _skipped(base: int, place: int, rank: int, limit: int) -> bool:
+    """The keyed draw of a candidate: of a unit's base, the place of its first character and the merged piece."""
+    x = (base ^ (place * _K1) ^ (rank * _K2)) & _M64
+    x = ((x ^ (x >> 31)) * _K3) & _M64
+    x = ((x ^ (x >> 29)) * _K4) & _M64
+    return x ^ (x >> 32) < limit
+
+
+def _merge_short(symbols: list[str], rank: dict[str, int], base: int, limit: int) -> list[str]:
+    """The agenda as a list, a rank for each pair of neighbours: the fastest for short units."""
+    get = rank.get
+    ranks = [get(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+    places = list(range(len(symbols)))
+    while ranks and (r := min(ranks)) != _NEVER:
+        i = ranks.index(r)
+        if limit and _skipped(base, places[i], r, limit):
+            ranks[i] = _NEVER
+            continue
+        symbols[i : i + 2] = [merged := symbols[i] + symbols[i + 1]]
+        del places[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = get(merged + symbols[i + 1], _NEVER)
+        if i:
+            ranks[i - 1] = get(symbols[i - 1] + merged, _NEVER)
+    return symbols
+
+
+def _merge_long(symbols: list[str], rank: dict[str, int], base: int, limit: int) -> list[str]:
+    """The agenda as a heap: the time for n characters grows as n log n."""
+    n, parts = len(symbols), list(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    agenda = [(r, i, i + 1, len(parts[i]) + len(parts[i + 1])) for i in range(n - 1) if (r := rank.get(parts[i] + parts[i + 1])) is not None]
+    heapq.heapify(agenda)
+    while agenda:
+        r, i, j, size = heapq.heappop(agenda)
+        left, right = parts[i], parts[j]
+        if not left or not right or after[i] != j or len(left) + len(right) != size or limit and _skipped(base, i, r, limit):
+            continue
+        merged = left + right
+        parts[i], parts[j] = merged, ""
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (q := rank.get(merged + parts[k])) is not None:
+                heapq.heappush(agenda, (q, i, k, size + len(parts[k])))
+        if (k := before[i]) >= 0 and (q := rank.get(parts[k] + merged)) is not None:
+            heapq.heappush(agenda, (q, k, i, size + len(parts[k])))
+    return [p for p in parts if p]
+
+
+def _skipped_many(base: np.ndarray, place: np.ndarray, rank: np.ndarray, limit: int) -> np.ndarray:
+    x = base ^ place.astype(np.uint64) * np.uint64(_K1) ^ rank.astype(np.uint64) * np.uint64(_K2)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(_K3)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(_K4)
+    return x ^ (x >> np.uint64(32)) < np.uint64(min(limit, _M64))
 
 
 class PieceModel:
@@ -51,48 +113,93 @@ class PieceModel:
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
+        self.char_ids[ord(" ")], self.char_ids[ord(SPACE)] = self.char_ids[ord(SPACE)], -1
+        pairs = sorted((self.ids[p[:k]] * size + self.ids[p[k:]], r) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        self.pairs, self.pair_ranks = np.array([x for x, _ in pairs] or [-1], np.int64), np.array([r for _, r in pairs] or [_NONE], np.int32)
+        self.rank_ids = np.array([i for _, i in by_score], np.int32)
         # a line break may end a unit if no piece holds one
         self.units = re.compile(r" *[^ \n]+| +|\n" if not any("\n" in p for p in self.ids) else r" *[^ ]+| +")
 
-    def segment(self, unit: str, dropout: float, key: bytes) -> list[int]:
+    def segment(self, unit: str, dropout: float, key: int = 0) -> list[int]:
         """Ids of a unit (a run of spaces and what follows up to the next space)."""
-        symbols: list[str | None] = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
-        n, rank = len(symbols), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        base = int.from_bytes(hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8, key=key).digest(), "little")
-        limit = int(dropout * (1 << 64))
-        agenda = []
-        for i in range(n - 1):
-            if (r := rank.get(symbols[i] + symbols[i + 1])) is not None:
-                agenda.append((r, i, i + 1, len(symbols[i]) + len(symbols[i + 1])))
-        heapq.heapify(agenda)
-        while agenda:
-            r, i, j, size = heapq.heappop(agenda)
-            left, right = symbols[i], symbols[j] if j < n else None
-            if left is None or right is None or after[i] != j or len(left) + len(right) != size:
-                continue
-            if limit:
-                x = (base ^ (i * 0x9E3779B97F4A7C15) ^ (r * 0xC2B2AE3D27D4EB4F)) & _M64
-                x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _M64
-                x = ((x ^ (x >> 29)) * 0x94D049BB133111EB) & _M64
-                if x ^ (x >> 32) < limit:
-                    continue
-            merged = left + right
-            symbols[i], symbols[j] = merged, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (q := rank.get(merged + symbols[k])) is not None:
-                    heapq.heappush(agenda, (q, i, k, size + len(symbols[k])))
-            if (k := before[i]) >= 0 and (q := rank.get(symbols[k] + merged)) is not None:
-                heapq.heappush(agenda, (q, k, i, size + len(symbols[k])))
+        symbols = list(unit.replace(" ", SPACE)) if SPACE not in unit else [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
+        base = zlib.crc32(unit.encode("utf-8", "surrogatepass")) * _K0 ^ key
+        symbols = (_merge_short if len(symbols) <= SHORT else _merge_long)(symbols, self.rank, base, int(dropout * (1 << 64)))
         out = []
         for s in symbols:
-            if s is not None:
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.byte_ids[b] for b in (SPACE if s == LITERAL else s).encode()]
+            if (i := self.ids.get(s)) is not None:
+                out.append(i)
+            else:
+                out += [self.byte_ids[b] for b in (SPACE if s == LITERAL else s).encode()]
+        return out
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * len(self.bytes_of) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], _NONE)
+
+    def _merge_many(self, ids: np.ndarray, sizes: np.ndarray, base: np.ndarray, limit: int) -> np.ndarray:
+        """_merge_short for many units at once: a row of symbol ids each, one step of every row's agenda at a time. -1: no symbol."""
+        n, width = ids.shape
+        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+        ranks = np.full((n, width), _NONE, np.int32)
+        row, col = np.nonzero(np.arange(1, width + 1) < sizes[:, None])
+        ranks[row, col] = self._pair_ranks(ids[row, col], ids[row, col + 1])
+        live = np.arange(n)
+        while len(live):
+            place = ranks[live].argmin(axis=1)
+            best = ranks[live, place]
+            go = best != _NONE
+            live, place, best = live[go], place[go], best[go]
+            if not len(live):
+                break
+            if limit:
+                out = _skipped_many(base[live], place, best, limit)
+                ranks[live[out], place[out]] = _NONE
+                row, i, r = live[~out], place[~out], best[~out]
+            else:
+                row, i, r = live, place, best
+            j = after[row, i]
+            k = after[row, j]
+            ids[row, i] = merged = self.rank_ids[r]
+            ids[row, j], ranks[row, j], ranks[row, i], after[row, i] = -1, _NONE, _NONE, k
+            on = k < sizes[row]
+            x, y = row[on], k[on]
+            before[x, y] = i[on]
+            ranks[x, i[on]] = self._pair_ranks(merged[on], ids[x, y])
+            k = before[row, i]
+            on = k >= 0
+            x, y = row[on], k[on]
+            ranks[x, y] = self._pair_ranks(ids[x, y], merged[on])
+        return ids
+
+    def segment_many(self, units: list[str], dropout: float, keys: list[int]) -> list[bytes]:
+        """segment() of each unit with its key, as little-endian uint32 bytes."""
+        out: list[bytes] = [b""] * len(units)
+        sizes = np.array([len(u) for u in units], np.int64)
+        base = np.array([zlib.crc32(u.encode()) for u in units], np.uint64) * np.uint64(_K0) ^ np.array(keys, np.uint64)
+        alone = sizes > SHORT
+        for low, high in ((0, 8), (8, 14), (14, SHORT)):
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            points = np.frombuffer("".join([units[i] for i in some]).encode("utf-32-le"), np.uint32)
+            ids = np.full((len(some), high), -1, np.int32)
+            there = np.arange(high) < sizes[some, None]
+            ids[there] = self.char_ids[points]
+            odd = (ids < 0).sum(axis=1) > high - sizes[some]
+            alone[some[odd]] = True
+            some = some[~odd]
+            ids = self._merge_many(ids[~odd], sizes[some], base[some], int(dropout * (1 << 64)))
+            raw, stops = ids[ids >= 0].astype("<u4").tobytes(), np.cumsum((ids >= 0).sum(axis=1)) * 4
+            begin = 0
+            for i, stop in zip(some.tolist(), stops.tolist()):
+                out[i] = raw[begin:stop]
+                begin = stop
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = array("I", self.segment(units[i], dropout, keys[i])).tobytes()
         return out
 
     def decode(self, ids) -> str:
@@ -100,40 +207,47 @@ class PieceModel:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
 
 
-class _Units(dict):
-    """unit -> ids as little-endian uint32 bytes, for one variant; emptied when `most` units are held."""
-
-    def __init__(self, model: PieceModel, dropout: float, key: bytes, most: int):
-        super().__init__()
-        self.model, self.dropout, self.key, self.most = model, dropout, key, most
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.model.segment(unit, self.dropout, self.key), "<u4").tobytes()
-        if len(unit) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 class DropoutEncoder:
-    def __init__(self, path: str, dropout: float, seed: int, variants: int = VARIANTS):
+    """Encodes texts, with a cache of units by variant: two generations of at most half of `most` units; what is used stays."""
+
+    def __init__(self, path: str, dropout: float, seed: int, variants: int = VARIANTS, most: int = CACHE_UNITS):
         if not 0 <= dropout <= 1 or variants < 1:
             raise ValueError("dropout must be in [0, 1] and variants at least 1")
-        self.model, self.seed, self.variants = PieceModel(path), seed, variants
-        keys = [hashlib.blake2b(f"{seed}/{v}".encode(), digest_size=32).digest() for v in range(variants)]
-        self.caches = [_Units(self.model, dropout, k, CACHE_UNITS // variants) for k in keys]
+        self.model, self.dropout, self.seed, self.variants, self.most = PieceModel(path), dropout, seed, variants, most // 2
+        self.keys = [int.from_bytes(hashlib.blake2b(f"{seed}/{v}".encode(), digest_size=8).digest(), "little") for v in range(variants)]
+        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def variant(self, doc_id: int | None) -> int:
         if doc_id is None:
             return 0
-        x = ((doc_id ^ self.seed) * 0x9E3779B97F4A7C15) & _M64
-        return (((x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & _M64) >> 40) % self.variants
+        x = ((doc_id ^ self.seed) * _K1) & _M64
+        return (((x ^ (x >> 32)) * _K4 & _M64) >> 40) % self.variants
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
+        """Ids of each text in its variant."""
+        find = self.model.units.findall
+        cut = [find(" " + t) if t else [] for t in texts]
+        wanted: list[set[str]] = [set() for _ in range(self.variants)]
+        for units, v in zip(cut, variants):
+            wanted[v].update(units)
+        if sum(map(len, self.young)) + sum(map(len, wanted)) > self.most:
+            self.young, self.old = [{} for _ in wanted], self.young
+        new, keys = [], []
+        for v, units in enumerate(wanted):
+            young, old = self.young[v], self.old[v]
+            for u in units - young.keys():
+                if (ids := old.get(u)) is None:
+                    new.append(u)
+                    keys.append(v)
+                else:
+                    young[u] = ids
+        for u, v, ids in zip(new, keys, self.model.segment_many(new, self.dropout, [self.keys[v] for v in keys])):
+            self.young[v][u] = ids
+        return [np.frombuffer(b"".join(map(self.young[v].__getitem__, units)), "<u4") for units, v in zip(cut, variants)]
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        return np.frombuffer(b"".join(map(self.caches[variant].__getitem__, self.model.units.findall(" " + text))), "<u4")
+        return self.encode_all([text], [variant])[0]
 
 
 _encoders: dict = {}
@@ -154,18 +268,15 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(at, TEXTS_AT_ONCE)
-                which, sizes, ids, same = [], [], [], []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    v = enc.variant(doc_id)
-                    found = enc.encode(text, v)
-                    which.append(v)
-                    ids.append(found)
-                    sizes.append(len(text.encode()))
-                    same.append(enc.model.decode(found.tolist()) == text)
+                texts = batch.column(1).to_pylist()
+                which = [enc.variant(x) for x in batch.column(0).to_pylist()]
+                ids = enc.encode_all(texts, which)
+                sizes = pa.compute.binary_length(batch.column(1))
+                same = [enc.model.decode(x.tolist()) == t for x, t in zip(ids, texts)]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(which, pa.int32()), pa.array(same, pa.bool_()),
+                        batch.column(0), sizes.cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(which, pa.int32()), pa.array(same, pa.bool_()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
                     ],
                     names=["doc_id", "n_bytes", "n_pieces", "variant", "lossless", "ids"],
