@@ -64,12 +64,13 @@ def link_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], f
     many each round up to all members, are compared with the members of other components: no link is lost, and a
     group of n copies costs about n pairs.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("first")).where("n > 1")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
     live = cut(spread_join(members, sizes, ["bucket"]), "buckets")
     little, large = live.where(F.col("n") <= SMALL), live.where(F.col("n") > SMALL)
     other = little.select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"))
     pairs = little.join(other, "bucket").where((F.col("id") < F.col("b")) & fits(F.col("size"), F.col("size_b"))).select(F.col("id").alias("a"), "b")
-    star = large.where((F.col("id") != F.col("first.id")) & fits(F.col("size"), F.col("first.size"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    heads = large.where("id = head").select("bucket", F.col("size").alias("size_a"))
+    star = spread_join(large.where("id <> head"), heads, ["bucket"]).where(fits(F.col("size"), F.col("size_a"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
     links = cut(confirm(pairs.unionByName(star).distinct()), "links")
     found, pivots, turn = components(links), 8, 0
     rest = large.select("bucket", "id", "size", "n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import kneser_ney
 from .backoff_lm import backoff_scores
 from .exact_dedup import exact_groups
+from .line_dedup import dropped_lines
 from .minhash_dedup import near_groups
 from .mixing import mixing_decisions
 from .piece_dropout import encode_pieces
@@ -41,6 +42,14 @@ def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", *[F.col("n_by_order")[k].alias(f"n_order{k + 1}") for k in range(3)], F.round("log_score", 3).alias("log_score"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    drops = dropped_lines(docs)
+    rows = lines.join(drops, F.col("doc_id") == F.col("id"), "left")
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -84,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_backoff_lm": op2_backoff_lm,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_topk_search": op5_topk_search,
     "op6_piece_dropout": op6_piece_dropout,
     "op7_exact_dedup": op7_exact_dedup,
