@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop_cut, unit
+from .shared import cut, drop_cut
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -54,15 +54,16 @@ def components(edges: DataFrame) -> DataFrame:
 SMALL = 16
 
 
-def link_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
+def link_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], block: int) -> DataFrame:
     """Components of the links among bucket mates: id, component, for ids with a link.
 
     `members` has bucket, id and size, each id once a bucket. Every pair of one bucket for which fits(size, size) holds
-    is either confirmed, refused by confirm(pairs a, b) -> links a, b, or left out because its ends are in one component
-    already. Small buckets are compared in full. In a large one, members are compared with one pivot first; as a rule
-    that makes the bucket one component and no other pair is needed. Where it doesn't, further pivots, eight times as
-    many each round up to all members, are compared with the members of other components: no link is lost, and a
-    group of n copies costs about n pairs.
+    is confirmed, refused, or left out because its ends are in one component already; so no link is lost that matters.
+    Small buckets give all their pairs to confirm(pairs a, b) -> links a, b. In a large one, members are compared with
+    one pivot first, and as a rule that makes the bucket one component. Buckets that stay mixed are dealt in blocks of
+    about `block` members, each block meeting each other once, and within(rows) -> links a, b looks at the pairs of
+    different labels in place: no row is made for a pair that isn't a link. Its rows have bucket, i, j (the blocks that
+    meet), part (i or j: pairs of one part count only where i = j), id, size and label.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
     live = cut(spread_join(members, sizes, ["bucket"]), "buckets")
@@ -72,23 +73,13 @@ def link_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], f
     heads = large.where("id = head").select("bucket", F.col("size").alias("size_a"))
     star = spread_join(large.where("id <> head"), heads, ["bucket"]).where(fits(F.col("size"), F.col("size_a"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
     links = cut(confirm(pairs.unionByName(star).distinct()), "links")
-    found, pivots, turn = components(links), 8, 0
-    rest = large.select("bucket", "id", "size", "n")
-    while True:
-        turn += 1
-        labelled = rest.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        rest = cut(spread_join(labelled, mixed, ["bucket"]), "mixed")
-        most = rest.agg(F.max("n")).first()[0]
-        if most is None:
-            return found
-        chosen = rest.where((unit(F.col("bucket"), F.col("id"), F.lit(turn)) * F.col("n") < pivots) | (F.col("n") <= pivots))
-        chosen = chosen.select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-        more = rest.join(chosen, "bucket").where((F.col("label") != F.col("label_b")) & fits(F.col("size"), F.col("size_b")))
-        more = more.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        links = links.unionByName(cut(confirm(more), "links"))
-        found = components(links)
-        rest = rest.select("bucket", "id", "size", "n")
-        if pivots >= most:
-            return found
-        pivots *= 8
+    found = components(links)
+    labelled = large.select("bucket", "id", "size", "n").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    rest = cut(spread_join(labelled, mixed, ["bucket"]), "mixed")
+    if rest.isEmpty():
+        return found
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("bucket", "id"), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "id", "size", "label")
+    return components(links.unionByName(within(dealt)))

@@ -8,7 +8,7 @@ the XOR of two sketches estimates the similarity; pairs estimated far below the
 no further. For the rest the full sets are made again from the texts - of these documents only - and compared exactly.
 
 Documents with equal sets form one class and only its smallest id goes on, so copies give no pairs. Large buckets are
-compared with pivots (linking.link_groups). A pair of similarity 0.75 shares no band with probability 5e-6, and 1e-7 is
+compared with a pivot, and what that leaves open block by block within tasks (linking.link_groups). A pair of similarity 0.75 shares no band with probability 5e-6, and 1e-7 is
 lost to the sketch; both fall off steeply above.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept; a null id is kept and
@@ -257,6 +257,59 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, id_col: s
     return with_sets.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+#: Members of a block of a large bucket: what a task holds is at most two blocks' sets.
+BLOCK = 1024
+
+
+def links_in_block(part: np.ndarray, same_block: bool, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join different labels among the members of two blocks (or of one), enough to join all that are linked.
+
+    Sketches are compared first; then a member's set is held against all sets that are left at once.
+    """
+    most, ends = most_differing_bits(SKETCH_FLOOR), np.cumsum(sizes)
+    flat, labels, out = None, labels.copy(), []
+    for a in range(len(part) - 1):
+        b = np.arange(a + 1, len(part))
+        b = b[(labels[b] != labels[a]) & (np.minimum(sizes[b], sizes[a]) * 100 >= np.maximum(sizes[b], sizes[a]) * LINK_PERCENT)]
+        if not same_block:
+            b = b[part[b] != part[a]]
+        b = b[np.bitwise_count(sketches[b] ^ sketches[a]).sum(axis=1) <= most] if len(b) else b
+        if not len(b):
+            continue
+        if flat is None:
+            flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            has = np.zeros(int(flat.max()) + 1, np.bool_)
+        own = flat[ends[a] - sizes[a] : ends[a]]
+        has[own] = True
+        if int(sizes[b].sum()) * 4 > len(flat):
+            sums = np.concatenate(([0], np.cumsum(has[flat])))
+            both = sums[ends[b]] - sums[ends[b] - sizes[b]]
+        else:
+            both = np.array([np.count_nonzero(has[flat[ends[x] - sizes[x] : ends[x]]]) for x in b])
+        has[own] = False
+        for x in b[100 * both >= LINK_PERCENT * (sizes[a] + sizes[b] - both)]:
+            if labels[x] != labels[a]:
+                out.append((a, int(x)))
+                labels[labels == labels[x]] = labels[a]
+    return out
+
+
+def _within(rows: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ids = rows.select("id").distinct()
+    sets = cut(_sets(docs, ids, id_col, text_col).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "sets")
+    full = rows.join(sets.withColumnRenamed("doc_id", "id"), "id").join(heads.select(F.col("doc_id").alias("id"), "sketch"), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        part, labels = (table.column(c).to_numpy() for c in ("part", "label"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        sketches = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(sets), -1)
+        found = links_in_block(part, table.column("i")[0] == table.column("j")[0], labels, np.array([len(s) for s in sets]), sketches, sets)
+        ids = table.column("id").to_numpy()
+        return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
+
+    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest id that links lead to), kept (it is its own component_id), class_id (the smallest id with the same set)."""
     sig = cut(signatures(docs, id_col, text_col), "signatures")
@@ -265,7 +318,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = spread_join(full, classes.select("h1", "h2", "class_id"), ["h1", "h2"]).where("doc_id = class_id").dropDuplicates(["h1", "h2"])
     heads = cut(heads.select("doc_id", "n_shingles", "bands", "sketch"), "heads")
     members = heads.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
-    links = link_groups(members, lambda pairs: _confirmed(pairs, heads.select("doc_id", "sketch"), docs, id_col, text_col), _fits)
+    links = link_groups(members, lambda pairs: _confirmed(pairs, heads.select("doc_id", "sketch"), docs, id_col, text_col), lambda rows: _within(rows, heads, docs, id_col, text_col), _fits, BLOCK)
     placed = classes.join(links, F.col("class_id") == F.col("id"), "left").select("h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     linked = spread_join(full.select("doc_id", "n_shingles", "h1", "h2"), placed, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
     alone = sig.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
