@@ -37,15 +37,15 @@ SKIPPABLE, MAGIC = 0x184D2A5E, 0x5344544B
 ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("frame_bytes", "<u8"), ("n_tokens", "<u8"), ("crc32", "<u4")])
 FOOTER = struct.Struct("<IBI")
 FILE_BYTES = 8 << 20
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 TEXTS_AT_ONCE_BYTES = 4 << 20
 
 
 class PieceCache:
     """piece -> its ids as little-endian bytes. Two generations of at most half of `most` pieces: what is used stays.
 
-    Pieces of letters, with or without ASCII marks behind them, make a known number of words for the tokenizer. Many
-    are encoded as one text, whose ids fall into words at the ids that end one; any other piece is encoded alone.
+    A piece of letters is one word for the tokenizer: many are encoded as one text, whose ids fall into words at the ids
+    that end one. ASCII marks behind letters are a word of their own. Any other piece is encoded alone.
     """
 
     MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -54,53 +54,79 @@ class PieceCache:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.kind, self.width, self.most = Tokenizer.from_file(path), f"<u{width}", width, most // 2
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of the ids that end a word
         self.last[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        self.joinable = self.lowers and bool(self.last.any())
+        # lower-case ASCII letters pass normalisation and byte mapping as they are: the model itself, cut at spaces, will do
+        self.words_only = Tokenizer(self.tokenizer.model)
+        self.words_only.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def words(self, piece: bytes) -> int:
-        """How many words the tokenizer makes of it; 0 if that isn't plain."""
-        bare = piece.rstrip(self.MARKS)
-        if bare and not bare.isalpha():
-            s = bare.decode()
-            if not (s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s)):
-                return 0
-        return bool(bare) + (len(bare) < len(piece))
-
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """A dictionary that holds them all."""
-        missing = pieces - self.young.keys()
-        if len(self.young) + len(missing) > self.most:
-            self.young, self.old = {}, self.young
-            missing = pieces
-        new = []
-        for p in missing:
-            if (ids := self.old.get(p)) is None:
-                new.append(p)
-            else:
-                self.young[p] = ids
-        plain = [(p, k) for p in new if (k := self.words(p))] if self.last.any() else []
-        alone = [p for p in new if not self.words(p)] if plain else new
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([p for p, _ in some]).decode()], add_special_tokens=False)[0].ids, self.kind)
+    def plain(self, word: bytes) -> bool:
+        """Whether it is one word for the tokenizer: letters that normalisation leaves letters."""
+        if word.isalpha():
+            return True
+        s = word.decode()
+        return s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s)
+
+    def _encode(self, words: list[bytes], tokenizer) -> None:
+        """Encode plain words together and add them."""
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.last[ids]) + 1
-            counts = np.cumsum([k for _, k in some])
-            if len(stops) != counts[-1]:
-                alone += [p for p, _ in some]
+            if len(stops) != len(some):
+                self._encode_alone(some)
                 continue
             raw, begin = ids.tobytes(), 0
-            for (p, _), stop in zip(some, (stops[counts - 1] * self.width).tolist()):
+            for p, stop in zip(some, (stops * self.width).tolist()):
                 self.young[p] = raw[begin:stop]
                 begin = stop
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)):
+
+    def _encode_alone(self, pieces: list[bytes]) -> None:
+        for p, e in zip(pieces, self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)):
             self.young[p] = np.array(e.ids, self.kind).tobytes()
-        return self.young
+
+    def _unknown(self, pieces: set[bytes]) -> set[bytes]:
+        """Those that neither generation holds; those of the old one are young again."""
+        missing = pieces - self.young.keys()
+        if self.old:
+            again = missing & self.old.keys()
+            self.young.update({p: self.old[p] for p in again})
+            missing -= again
+        return missing
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """A dictionary that holds them all."""
+        if len(self.young) + len(pieces - self.young.keys()) > self.most:
+            self.young, self.old = {}, self.young
+        ascii_words, words, ended, alone = [], [], [], []
+        for p in self._unknown(pieces):
+            if self.joinable and p.isalpha() and p.islower():
+                ascii_words.append(p)
+            elif self.joinable and (word := p.rstrip(self.MARKS)) and self.plain(word):
+                if len(word) == len(p):
+                    words.append(p)
+                else:
+                    ended.append((p, word, p[len(word) :]))
+            else:
+                alone.append(p)
+        self._encode_alone(alone)
+        bare = self._unknown({w for _, w, _ in ended}).difference(ascii_words, words)
+        own = {w for w in bare if w.isalpha() and w.islower()}
+        self._encode(ascii_words + list(own), self.words_only)
+        self._encode(words + list(bare - own), self.tokenizer)
+        self._encode_alone(list(self._unknown({m for _, _, m in ended})))
+        young = self.young
+        for p, w, m in ended:
+            young[p] = young[w] + young[m]
+        return young
 
 
 _caches: dict = {}
@@ -130,12 +156,15 @@ def encode_frames(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        cache, pack, end = _cache(tokenizer, width), zstandard.ZstdCompressor(level=level, write_checksum=True), end_id.to_bytes(width, "little")
+        cache = _cache(tokenizer, width)
+        lower = cache.lowers
+        pack, end = zstandard.ZstdCompressor(level=level, write_checksum=True), end_id.to_bytes(width, "little")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             sizes = pa.compute.binary_length(texts).to_pylist()
             for begin, stop in _runs(sizes, TEXTS_AT_ONCE_BYTES):
-                split = [t.split() for t in texts.slice(begin, stop - begin).to_pylist()]
+                # ASCII capitals make no difference to a tokenizer that lowers case; its special tokens are spelt with <|
+                split = [(t.lower() if lower and b"<|" not in t else t).split() for t in texts.slice(begin, stop - begin).to_pylist()]
                 n, crc, frames = [], [], []
                 get = cache.learn(set().union(*split)).__getitem__
                 for words in split:
