@@ -59,7 +59,7 @@ class _Parts:
     def near(self, start: int, end: int, reach: int) -> bool:
         k = bisect_right(self.scopes, start)
         low = max(start - reach, self.scopes[k - 1] if k else 0)
-        high = min(end + reach, self.scopes[k] if k < len(self.scopes) else end + reach)
+        high = min(end + reach, self.scopes[k] - 1 if k < len(self.scopes) else end + reach)
         # the spans that end at or after low and begin at or before high, but for the span itself
         i, j = bisect_left(self.ends, low), bisect_right(self.starts, high)
         while i < j:

@@ -318,7 +318,7 @@ def test_linking_against_all_pairs():
 
         def near(x, others):
             low, high = next((a, b) for a, b in zip(scopes, scopes[1:]) if a <= x[0] < b)
-            return any(o != x and o[1] >= max(x[0] - secret_scan.REACH, low) and o[0] <= min(x[1] + secret_scan.REACH, high) for o in others)
+            return any(o != x and o[1] >= max(x[0] - secret_scan.REACH, low) and o[0] <= min(x[1] + secret_scan.REACH, high - 1) for o in others)
 
         known, hidden = ids + [(s, e) for k, s, e in base if k == "access"], keys + [(s, e) for k, s, e in base if k != "access"]
         want = {("identifier", *x) for x in ids if near(x, hidden)} | {("secret", *x) for x in keys if near(x, known) or near(x, ends)} | {("endpoint", *x) for x in ends if near(x, known) and near(x, hidden)}
