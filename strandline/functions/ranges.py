@@ -86,8 +86,8 @@ class ReadRange:
         """What is wrong with this range in a read-pair row; null if nothing is."""
         need = self.offset + (self.len or 0)
         seq, label = F.col(f"{self.read}.seq"), READ_NAMES[self.read]
-        short = F.format_string(f"{name} is expected in positions {self.offset}-{need} in Read {label}, but read is %d bp long.", F.length(seq))
-        return F.when(seq.isNull(), F.lit(f"{name} is missing from FASTQ. Read {label} is not present.")).when(F.length(seq) < need, short)
+        short = F.format_string(f"{name}: {label} has %d bases, but {self.offset} to {need} are needed", F.length(seq))
+        return F.when(seq.isNull(), F.lit(f"{name}: there is no {label}")).when(F.length(seq) < need, short)
 
 
 def slice_column(s: Column | str, offset: Column | int, size: Column | int | None = None) -> Column:

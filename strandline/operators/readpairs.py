@@ -111,7 +111,7 @@ def deinterleave(rows: DataFrame, single_ended: bool = False) -> DataFrame:
         return rows.select("group_id", "ordinal", whole.alias("r1"), record("header", F.lit(""), F.lit("")).alias("r2"), absent.alias("i1"), absent.alias("i2"))
     at = lambda k: F.max(F.when(F.col("ordinal") % 2 == k, whole)).alias(f"r{k + 1}")
     pairs = rows.groupBy("group_id", F.floor(F.col("ordinal") / 2).cast("long").alias("ordinal_")).agg(at(0), at(1))
-    odd = F.when(F.col("r2").isNull(), F.raise_error(F.lit("interleaved reads, but an odd number of records")).cast("struct<header:string,seq:string,qual:string>")).otherwise(F.col("r2"))
+    odd = F.when(F.col("r2").isNull(), F.raise_error(F.lit("an odd number of interleaved records")).cast("struct<header:string,seq:string,qual:string>")).otherwise(F.col("r2"))
     return pairs.select("group_id", F.col("ordinal_").alias("ordinal"), "r1", odd.alias("r2"), absent.alias("i1"), absent.alias("i2"))
 
 

@@ -87,7 +87,7 @@ def records(path: str) -> Iterator[tuple[str, str, str]]:
                 if len(seq) != len(qual):
                     raise FastqError("format", "sequence and quality differ in length", path, line)
                 if not _BASES.fullmatch(seq):
-                    raise FastqError("format", "FASTQ contains sequence base with character other than [ACGTN].", path, line)
+                    raise FastqError("format", "a sequence holds something else than A, C, G, T or N", path, line)
                 yield head[1:].decode("latin-1"), seq.decode(), qual.decode("latin-1")
                 number += 1
     except (OSError, EOFError, pa.ArrowException) as e:
@@ -139,13 +139,13 @@ def read_pairs(reads: ReadSet, lengths: dict | None = None, rate: float = 1.0, s
                 if single:
                     row["r2"] = (row[r][0], "", "")
                 elif (second := advance(r)) is None:
-                    raise FastqError("format", "Input FASTQ file was input as interleaved R1 and R2, but contains an odd number of records", paths[r], 4 * (count[r] - 1))
+                    raise FastqError("format", "the interleaved file holds an odd number of records", paths[r], 4 * (count[r] - 1))
                 else:
                     row["r2"] = second
         ended = [r for r in paths if row[r] is None]
         if ended:
             if len(ended) < len(paths):
-                raise FastqError("format", "Input FASTQ file ended prematurely", paths[ended[0]], 4 * (count[ended[0]] - 1))
+                raise FastqError("format", "this file ends before the others of its set", paths[ended[0]], 4 * (count[ended[0]] - 1))
             return
         there = [r for r in READS if r in row]
         own = prefix(row[there[0]][0])
@@ -153,7 +153,7 @@ def read_pairs(reads: ReadSet, lengths: dict | None = None, rate: float = 1.0, s
             continue
         for r in there[1:]:
             if prefix(row[r][0]) != own:
-                raise FastqError("format", "FASTQ header mismatch between reads of one cluster", paths.get(r, paths[there[0]]), 4 * (count.get(r, count[there[0]]) - 1))
+                raise FastqError("format", "the reads of one cluster have different headers", paths.get(r, paths[there[0]]), 4 * (count.get(r, count[there[0]]) - 1))
         cut = [None if r not in row else (row[r][0], *(x[: lengths[r]] if lengths.get(r) is not None else x for x in row[r][1:])) for r in READS]
         yield (reads.group_id, ordinal, *cut)
 

@@ -55,10 +55,10 @@ def test_interleaved_single_ended_and_trims(spark, tmp_path):
 def test_errors(spark, tmp_path):
     good = put(tmp_path / "good", fq(8))
     cases = {
-        "ended prematurely": {"r1": good, "r2": put(tmp_path / "short", fq(7))},
+        "ends before the others": {"r1": good, "r2": put(tmp_path / "short", fq(7))},
         "odd number": {"r1": put(tmp_path / "odd", b"".join(render((f"c:{i // 2}", "A", "I")) for i in range(5))), "interleaved": "true"},
-        "other than": {"r1": put(tmp_path / "char", fq(8).replace(b"ACGT", b"aCGT", 1))},
-        "header mismatch": {"r1": good, "i1": put(tmp_path / "head", fq(8).replace(b"@c:3", b"@d:3"))},
+        "something else": {"r1": put(tmp_path / "char", fq(8).replace(b"ACGT", b"aCGT", 1))},
+        "different headers": {"r1": good, "i1": put(tmp_path / "head", fq(8).replace(b"@c:3", b"@d:3"))},
         "begin with @": {"r1": put(tmp_path / "at", fq(8).replace(b"@c:5", b"c:5"))},
         "differ in length": {"r1": put(tmp_path / "len", b"@a\nAC\n+\nI\n")},
         "neither": {"r1": put(tmp_path / "what", b"hello world")},
@@ -154,7 +154,7 @@ def test_processor(spark, tmp_path):
     rows = BarcodeUmi([{"r1": r1, "r1_interleaved": False}]).read(spark).collect()
     assert len(rows) == 30 and all((r.processed is None) == (r.reason is not None) and (r.unprocessed is None) == (r.reason is None) for r in rows)
     short = BarcodeUmi([{"r1": put(tmp_path / "s", fq(3)), "r1_interleaved": False}]).read(spark).collect()
-    assert {r.reason for r in short} == {"Barcode is expected in positions 0-16 in Read read1, but read is 8 bp long."}
+    assert {r.reason for r in short} == {"Barcode: read1 has 8 bases, but 0 to 16 are needed"}
     pairs = load(spark, r1=r1)
     row = alignable(pairs).select("align_sequence", bam_tags({"CB": F.col("r1.seq"), "UB": F.col("r2.seq")}).alias("t")).first()
     assert row.align_sequence.read2 is None and set(row.t) == {"CB"}
