@@ -19,7 +19,7 @@ out and the others scaled up.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import spread_join
@@ -31,6 +31,8 @@ BUDGET = 0.8
 SWEEPS, TOLERANCE = 40, 1e-6
 #: Cells of a table that may be broadcast; beyond it, the decisions are joined by document id.
 BROADCAST_CELLS = 100_000
+#: Cells that one task may rake by itself, which saves the exchanges; larger tables are raked by the same steps, distributed.
+ONE_TASK_CELLS = 20_000
 
 
 def text_tokens(text: Column) -> Column:
@@ -79,25 +81,43 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         total = t.agg(F.sum("share")).first()[0] or 1.0
         goals[d] = cut(t.select(F.col("value").alias(d), (F.col("share") / F.lit(float(total))).alias("goal")), "goals")
     now = cells.withColumn("weight", F.col("n_tokens").cast("double"))
+    sweep, each = (_sweep_in_one_task, 4) if cells.count() <= ONE_TASK_CELLS else (_sweep, 1)
     kept = None
-    for _ in range(sweeps):
-        errors = []
-        for d, goal in goals.items():
-            sums = now.groupBy(d).agg(F.sum("weight").alias("have")).join(goal, d, "left")
-            factor = sums.select(d, F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("factor"))
-            now = spread_join(now, factor, [d]).withColumn("weight", F.col("weight") * F.col("factor")).withColumn(f"_f{d}", F.col("factor")).drop("factor")
-            errors.append(F.max(F.when(F.col("weight") > 0, F.abs(F.col(f"_f{d}") - 1))))
+    for _ in range(0, sweeps, each):
+        for _ in range(each):
+            now = sweep(now, goals)
         now = cut(now, "raked")
         drop_cut(kept)
         kept = now
         # factors of a sweep are near 1 once the marginals agree; the first sweep's also hold the scale
-        off = now.agg(F.greatest(*errors, F.lit(0.0))).first()[0]
+        off = now.agg(F.greatest(*[F.max(F.when(F.col("weight") > 0, F.abs(F.col(f"_f{d}") - 1))) for d in goals], F.lit(0.0))).first()[0]
         now = now.select(*cells.columns, "weight")
         if off < tolerance:
             break
     return now
 
 
+def _factor(have: Column) -> Column:
+    return F.when(have > 0, F.coalesce("goal", F.lit(0.0)) / have).otherwise(0.0)
+
+
+def _sweep(now: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """One pass over the dimensions; each adds its factor as _f<dimension>."""
+    for d, goal in goals.items():
+        sums = now.groupBy(d).agg(F.sum("weight").alias("have")).join(goal, d, "left").select(d, _factor(F.col("have")).alias(f"_f{d}"))
+        now = spread_join(now.drop(f"_f{d}"), sums, [d]).withColumn("weight", F.col("weight") * F.col(f"_f{d}"))
+    return now
+
+
+def _sweep_in_one_task(now: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """The same for a table of at most ONE_TASK_CELLS rows, without any exchange."""
+    for d, goal in goals.items():
+        rows = now.drop(f"_f{d}").coalesce(1).join(goal.coalesce(1), d, "left")
+        rows = rows.withColumn(f"_f{d}", _factor(F.sum("weight").over(Window.partitionBy(d))))
+        now = rows.withColumn("weight", F.col("weight") * F.col(f"_f{d}")).drop("goal")
+    return now
+
+
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
     """`raked` with probability: weight over tokens, scaled so that `budget` of the tokens are expected, at most 1."""
     rate = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens"))

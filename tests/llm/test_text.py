@@ -133,7 +133,9 @@ def test_packing():
 # ---- mixing
 
 
-def test_mixing(documents):
+@pytest.mark.parametrize("one_task", [0, 20_000])
+def test_mixing(documents, monkeypatch, one_task):
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", one_task)
     df = mixing.mixing_decisions(documents).toPandas()
     cells = df.groupby(["source", "lang", "topic"], as_index=False).agg(n=("n_tokens", "sum"), w=("weight", "first"), p=("probability", "first"))
     w = cells.n.to_numpy(float).copy()
