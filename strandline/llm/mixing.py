@@ -82,6 +82,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         goals[d] = cut(t.select(F.col("value").alias(d), (F.col("share") / F.lit(float(total))).alias("goal")), "goals")
     now = cells.withColumn("weight", F.col("n_tokens").cast("double"))
     sweep, each = (_sweep_in_one_task, 4) if cells.count() <= ONE_TASK_CELLS else (_sweep, 1)
+    columns = [*now.columns]
+    if each > 1:
+        for d, goal in goals.items():
+            now = now.join(goal.withColumnRenamed("goal", f"_g{d}"), d, "left")
+            columns.append(f"_g{d}")
+        now = cut(now, "raked")
     kept = None
     for _ in range(0, sweeps, each):
         for _ in range(each):
@@ -91,30 +97,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         kept = now
         # factors of a sweep are near 1 once the marginals agree; the first sweep's also hold the scale
         off = now.agg(F.greatest(*[F.max(F.when(F.col("weight") > 0, F.abs(F.col(f"_f{d}") - 1))) for d in goals], F.lit(0.0))).first()[0]
-        now = now.select(*cells.columns, "weight")
+        now = now.select(*columns)
         if off < tolerance:
             break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
-def _factor(have: Column) -> Column:
-    return F.when(have > 0, F.coalesce("goal", F.lit(0.0)) / have).otherwise(0.0)
+def _factor(goal: str, have: Column) -> Column:
+    return F.when(have > 0, F.coalesce(goal, F.lit(0.0)) / have).otherwise(0.0)
 
 
 def _sweep(now: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
     """One pass over the dimensions; each adds its factor as _f<dimension>."""
     for d, goal in goals.items():
-        sums = now.groupBy(d).agg(F.sum("weight").alias("have")).join(goal, d, "left").select(d, _factor(F.col("have")).alias(f"_f{d}"))
+        sums = now.groupBy(d).agg(F.sum("weight").alias("have")).join(goal, d, "left").select(d, _factor("goal", F.col("have")).alias(f"_f{d}"))
         now = spread_join(now.drop(f"_f{d}"), sums, [d]).withColumn("weight", F.col("weight") * F.col(f"_f{d}"))
     return now
 
 
 def _sweep_in_one_task(now: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
-    """The same for a table of at most ONE_TASK_CELLS rows, without any exchange."""
-    for d, goal in goals.items():
-        rows = now.drop(f"_f{d}").coalesce(1).join(goal.coalesce(1), d, "left")
-        rows = rows.withColumn(f"_f{d}", _factor(F.sum("weight").over(Window.partitionBy(d))))
-        now = rows.withColumn("weight", F.col("weight") * F.col(f"_f{d}")).drop("goal")
+    """The same for a table of at most ONE_TASK_CELLS rows that has the goals as _g<dimension>: no exchange, no join."""
+    now = now.coalesce(1)
+    for d in goals:
+        now = now.withColumn(f"_f{d}", _factor(f"_g{d}", F.sum("weight").over(Window.partitionBy(d)))).withColumn("weight", F.col("weight") * F.col(f"_f{d}"))
     return now
 
 
