@@ -32,8 +32,8 @@ from .shared import cut
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_BYTES = 16 << 20
-SHARD_NGRAMS = 4_000_000
+BLOCK_BYTES = 6 << 20
+SHARD_NGRAMS = 1_500_000
 SPARE_BITS = 22
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
