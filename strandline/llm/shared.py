@@ -15,15 +15,18 @@ SIEVE_BITS = 1 << 24
 _WORD = 32768  # bits of one bitmap row of Spark's bitmap functions
 
 
+_own: dict[str, str] = {}  # by application, where the session names no folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="strandline-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="strandline-")
+        atexit.register(shutil.rmtree, _own[app], True)
+    return _own[app]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -83,16 +83,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     deal = lambda into: F.pmod(F.xxhash64("row"), F.lit(into)).cast("int")
     each = lambda into: F.explode(F.sequence(F.lit(0), F.lit(into - 1)))
     left = wanted.select("row", "vec_id", "v", "dim", deal(groups).alias("g"), each(slices).alias("s"))
-    right = rows.select("row", "vec_id", "v", "dim", deal(slices).alias("s"), each(groups).alias("g"))
+    # both sides come from one table: names of its own keep the optimizer from taking one side's columns for the other's
+    right = rows.select(F.col("row").alias("c_row"), F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"), F.col("dim").alias("c_dim"), deal(slices).alias("c_s"), each(groups).alias("c_g"))
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not (len(queries) and len(candidates)):
             return schema.empty_table()
-        q_rows, rows_ = queries.column("row").to_numpy(), candidates.column("row").to_numpy()
-        ids = candidates.column("vec_id")
+        q_rows, rows_ = queries.column("row").to_numpy(), candidates.column("c_row").to_numpy()
+        ids = candidates.column("c_id")
         sortable = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-        found = best(_matrix(queries.column("v")), q_rows, _matrix(candidates.column("v")), rows_, sortable, k)
+        found = best(_matrix(queries.column("v")), q_rows, _matrix(candidates.column("c_v")), rows_, sortable, k)
         sizes = [len(p) for p, _ in found]
         places = np.concatenate([p for p, _ in found])
         return pa.table(
@@ -100,6 +101,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
             schema=schema,
         )
 
-    found = left.groupBy("dim", "g", "s").cogroup(right.groupBy("dim", "g", "s")).applyInArrow(search, "query_row long, query_id long, row long, vec_id long, score long")
+    found = left.groupBy("dim", "g", "s").cogroup(right.groupBy("c_dim", "c_g", "c_s")).applyInArrow(search, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

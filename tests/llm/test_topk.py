@@ -24,6 +24,7 @@ def test_table(spark, monkeypatch):
     vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
     assert run(vectors, 50) == brute(rows, 50)
+    assert topk_search.top_k(vectors, F.col("vec_id") % 50 == 0).select("score").count() == 5 * sum(i % 50 == 0 for i, _ in rows)
     monkeypatch.setattr(topk_search, "SLICE", 90)
     monkeypatch.setattr(topk_search, "GROUP", 3)
     assert run(vectors, 50) == brute(rows, 50)
