@@ -37,7 +37,7 @@ SKIPPABLE, MAGIC = 0x184D2A5E, 0x5344544B
 ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("frame_bytes", "<u8"), ("n_tokens", "<u8"), ("crc32", "<u4")])
 FOOTER = struct.Struct("<IBI")
 FILE_BYTES = 8 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 900_000
 TEXTS_AT_ONCE_BYTES = 4 << 20
 
 
@@ -105,7 +105,8 @@ class PieceCache:
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """A dictionary that holds them all."""
         if len(self.young) + len(pieces - self.young.keys()) > self.most:
-            self.young, self.old = {}, self.young
+            marks = set(self.MARKS)  # pieces that end in marks are made of their words again, without encoding
+            self.young, self.old = {}, {p: ids for p, ids in self.young.items() if p[-1] not in marks or len(p) < 4}
         ascii_words, words, ended, alone = [], [], [], []
         for p in self._unknown(pieces):
             if self.joinable and p.isalpha() and p.islower():
@@ -237,8 +238,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     return cut(ordered.mapInArrow(assemble, "part int, seq int, payload binary"), "token-files")
 
 
-def read_documents(files: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """Per document (all, or those of the ids `wanted`): part, seq, doc_id, at (ids before it in its file), ids. Only the frames asked for are decompressed."""
+def read_documents(files: DataFrame, wanted: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """Per document (all, or those of the ids `wanted`): part, seq, doc_id, at (ids before it in its file), n_tokens,
+    ids_crc32, ids (null if not asked for). Only the frames asked for are decompressed."""
     want = None if wanted is None else np.array(sorted(set(wanted)), np.int64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +259,13 @@ def read_documents(files: DataFrame, wanted: list[int] | None = None) -> DataFra
                             [
                                 pa.array([part] * len(some), pa.int32()), pa.array([seq] * len(some), pa.int32()),
                                 pa.array([None if table["null_id"][k] else int(table["doc_id"][k]) for k in some], pa.int64()), pa.array(at[some], pa.int64()),
-                                pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
+                                pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))) if with_ids else pa.nulls(len(some), pa.list_(pa.int32())),
                             ],
-                            names=["part", "seq", "doc_id", "at", "ids_crc32", "ids"],
+                            names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
                         )
 
-    return files.mapInArrow(read, "part int, seq int, doc_id long, at long, ids_crc32 long, ids array<int>")
+    return files.mapInArrow(read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def file_totals(files: DataFrame) -> DataFrame:
@@ -283,7 +285,7 @@ def file_totals(files: DataFrame) -> DataFrame:
 def token_positions(files: DataFrame) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (ids as little-endian uint32)."""
     bases = file_totals(files).select("part", "seq", "base")
-    rows = read_documents(files).select("part", "seq", "doc_id", "at", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32")
+    rows = read_documents(files, with_ids=False).drop("ids")
     return rows.join(bases, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
