@@ -184,7 +184,12 @@ def test_lines_against_brute_force(spark, documents, monkeypatch, small, block):
 def test_simhash_lanes(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([([f"w{i * k}" for i in range(k)],) for k in (1, 2, 7, 255, 256, 400)], "words array<string>")
-    for r in rows.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.expr(line_dedup.simhash("words")).alias("s"), *[F.expr(line_dedup._simhash("words", b)).alias(f"s{b}") for b in (21, 63)]).collect():
-        want = sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
-        assert r.s == r.s21 == r.s63 == want
+    lines = [" ".join(f"w{i * k}" for i in range(k)) for k in (1, 2, 7, 255, 256, 400, 700)]
+    rows = spark.createDataFrame([(i, i, i % 2, x) for i, x in enumerate(lines)], "row long, doc_id long, line_no int, norm string")
+    rows = rows.union(rows.where("doc_id = 3").withColumn("row", F.lit(99)))  # a repeated document
+    hashes = {r.doc_id: r.h for r in rows.select("doc_id", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    got = line_dedup.line_sketches(rows).collect()
+    assert len(got) == len(lines) + 1
+    for r in got:
+        h = hashes[r.doc_id]
+        assert r.sketch == sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in h) > len(h))
