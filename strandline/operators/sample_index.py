@@ -3,31 +3,13 @@
 from __future__ import annotations
 
 import json
+import pkgutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: sets of the small plates. The larger plates (hundreds of names) are read from a file: load_sets().
-SETS: dict[str, tuple[str, ...]] = {
-    "220027": ("TCGCCATA", "GTATACAC", "AATGGTGG", "CGCATGCT"),
-    "220028": ("TATCCTCG", "GCGAGGTC", "CGCTTCAA", "ATAGAAGT"),
-    "220029": ("TGACGTCG", "CTTGTGTA", "ACGACCGT", "GACTAAAC"),
-    "220030": ("ATCTAGCT", "GAGCGTAC", "TCAGCCTG", "CGTATAGA"),
-    "220031": ("CCGTTCCC", "ATACAGTT", "TGTAGTAA", "GACGCAGG"),
-    "220032": ("TCAATTGG", "AGTTAGAA", "GAGCGCTT", "CTCGCACC"),
-    "220033": ("CTGCCTTG", "ACTAGCCC", "GGCTAGAT", "TAAGTAGA"),
-    "220034": ("GGCAGAAA", "ACGGTTCT", "CATTCGTC", "TTACACGG"),
-    "SI-T2-1": ("GGGTGATC", "TTACCGAT", "AATGACGA", "CCCATTCG"),
-    "SI-T2-2": ("GGGTCGAA", "ATCCGCCC", "TCTATAGT", "CAAGATTG"),
-    "SI-T2-3": ("GCTGATAT", "TGCCGAGC", "AAATTGCG", "CTGACCTA"),
-    "SI-T2-4": ("ACTTCTGA", "TTCATCTT", "CGACGACG", "GAGGAGAC"),
-    "SI-T2-5": ("GAATACAA", "AGCATACC", "TCGGGTTT", "CTTCCGGG"),
-    "SI-T2-6": ("TATTGAGA", "GTAGTCAG", "CGCCATTC", "ACGACGCT"),
-    "SI-T2-7": ("AAATCTGT", "GTCCAACC", "TCTGGCTG", "CGGATGAA"),
-    "SI-T2-8": ("CCTTGAAC", "GAAATCGG", "TGGCCTCT", "ATCGAGTA"),
-}
-# the names SI-001 to SI-008 stand for the same sets as 220027 to 220034
-SETS |= {f"SI-00{i}": SETS[f"2200{26 + i}"] for i in range(1, 9)}
+#: All 600 sets of the plates, from the data file beside this module; other plates are read with load_sets().
+SETS: dict[str, tuple[str, ...]] = {k: tuple(v) for k, v in json.loads(pkgutil.get_data(__package__, "sample_index.json")).items()}
 
 
 def load_sets(path: str) -> dict[str, tuple[str, ...]]:
@@ -46,7 +28,7 @@ def index_table(spark: SparkSession, sets: dict[str, tuple[str, ...]] | None = N
 def group_samples(groups: DataFrame, index: DataFrame, include_unrecognized: bool) -> DataFrame:
     """`groups` with set_name: the set that its si belongs to, or the si itself for others, if those are included.
 
-    The index table is a fixed dimension (2,400 rows with all plates), so it is broadcast.
+    The index table is a fixed dimension (2,400 rows before grouping), so it is broadcast.
     """
     named = groups.join(F.broadcast(index.select("si", "set_name")), "si", "left" if include_unrecognized else "inner")
     return named.withColumn("set_name", F.coalesce("set_name", "si"))

@@ -1,5 +1,7 @@
 import gzip
 import os
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -186,3 +188,13 @@ def test_fasta_and_json(spark, tmp_path):
     assert [tuple(r) for r in fasta.read_fasta(spark, str(tmp_path / "a.fa")).collect()] == [("one", "first read", "ACGTAC"), ("two", "", "GG")]
     (tmp_path / "a.json").write_text('{"R1": [{"name": "x", "end": "three_prime", "location": "anywhere", "seq": "AAAAA"}], "R2": []}')
     assert [tuple(r) for r in fasta.read_adapters(spark, str(tmp_path / "a.json")).collect()] == [("R1", "x", "three_prime", "anywhere", "AAAAA")]
+
+
+def test_all_sample_index_sets(spark):
+    assert len(X.SETS) == 600 and all(len(v) == 4 and all(re.fullmatch("[ACGT]{8}", s) for s in v) for v in X.SETS.values())
+    plates = Counter(k.rsplit("-", 1)[0] for k in X.SETS if k.count("-") == 2)
+    assert plates == {"SI-3A": 96, "SI-GA": 96, "SI-P01": 96, "SI-P02": 96, "SI-P03": 96, "SI-P2": 96, "SI-T2": 8}
+    table = X.index_table(spark)
+    assert table.count() == 832 and table.select(F.explode("set_names").alias("s")).distinct().count() == 600
+    si = X.SETS["SI-GA-A1"][0]
+    assert X.group_samples(spark.createDataFrame([(si,)], "si string"), table, False).count() == 1
