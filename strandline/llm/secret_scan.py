@@ -5,8 +5,10 @@ parts - account identifiers, endpoints, key-like strings - are candidates only:
 parts co-occur with it in its scope. A scope is a paragraph (text between blank lines), and within it parts join when
 the gap between their spans is at most `reach` code points. An identifier needs a secret in reach, a key-like string
 needs an identifier or an endpoint, an endpoint needs an identifier and a secret. Base assignments and hex count as
-secrets, base access identifiers as identifiers. The interval join looks for the nearest span of the complementary
-kind in sorted order, so it is linear in the parts of a text and emits no pairs.
+secrets, base access identifiers as identifiers. An identifier's own value is no secret
+beside it. Names may follow '_' or '-' (DB_HOST, aws_access_key_id), and values '=' or ':' without a space or quote, as
+in .env files. The interval join looks for the nearest span of the complementary kind in sorted order, so it is linear
+in the parts of a text and emits no pairs.
 
 Spans are code points, end exclusive. Defined results: a null text is an empty one and has no spans; a null id is kept
 as null; repeated rows give repeated results; an empty table gives no rows.
@@ -29,9 +31,9 @@ REACH = 300
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-IDENTIFIER = re.compile(r"""\b(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
-ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,15}://|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9][^\s"'<>]{3,}""", re.A)
-KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
+ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,15}://|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9][^\s"'<>]{3,}""", re.I | re.A)
+KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
 BLANK = re.compile(r"\n[ \t]*\n")
 
 
@@ -56,14 +58,16 @@ class _Parts:
         j = bisect_left(self.starts, end)
         return j > 0 and self.ends[j - 1] > start
 
-    def near(self, start: int, end: int, reach: int) -> bool:
+    def near(self, start: int, end: int, reach: int, inside: bool = True, around: bool = True) -> bool:
+        """Whether a span is within reach; without `inside` those that lie in this one don't count, without `around` those that hold it."""
         k = bisect_right(self.scopes, start)
         low = max(start - reach, self.scopes[k - 1] if k else 0)
         high = min(end + reach, self.scopes[k] - 1 if k < len(self.scopes) else end + reach)
         # the spans that end at or after low and begin at or before high, but for the span itself
         i, j = bisect_left(self.ends, low), bisect_right(self.starts, high)
         while i < j:
-            if self.spans[i] != (start, end) and self.spans[i][1] >= low:
+            s, e = self.spans[i]
+            if (s, e) != (start, end) and e >= low and (inside or s < start or e > end) and (around or s > start or e < end):
                 return True
             i += 1
         return False
@@ -79,7 +83,7 @@ def scan(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     ids = [m.span() for m in IDENTIFIER.finditer(text)] if "user" in low or "login" in low or "id" in low and ("client" in low or "access" in low or "account" in low) else []
-    ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text or "host" in text or "endpoint" in text or "server" in text else []
+    ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text or "host" in low or "endpoint" in low or "server" in low else []
     if ids or ends or any(k == "access" for k, _, _ in out):
         out += _linked(text, out, ids, ends, reach)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -92,8 +96,8 @@ def _linked(text: str, base: list[tuple[str, int, int]], ids: list, ends: list,
     known = _Parts(ids + [(s, e) for k, s, e in base if k == "access"], scopes)
     hidden = _Parts(keys + [(s, e) for k, s, e in base if k != "access"], scopes)
     places = _Parts(ends, scopes)
-    out = [("identifier", *x) for x in ids if hidden.near(*x, reach)]
-    out += [("secret", *x) for x in keys if known.near(*x, reach) or places.near(*x, reach)]
+    out = [("identifier", *x) for x in ids if hidden.near(*x, reach, inside=False)]
+    out += [("secret", *x) for x in keys if known.near(*x, reach, around=False) or places.near(*x, reach)]
     return out + [("endpoint", *x) for x in ends if known.near(*x, reach) and hidden.near(*x, reach)]
 
 
