@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Encoding follows the BPE model: symbols of a unit merge in order of the merged piece's rank, leftmost first, from an
-agenda; each candidate merge that comes up is skipped when a hash keyed by seed, variant, unit, place and merged piece
-falls below `dropout`. With dropout 0 the result is the model's own. A text's variant comes from the seed and its id, so
-the same word is cut differently in different documents, and always alike when run again, on any machine. Within one
-variant a unit's segmentation is a function of the unit, and a bounded cache in each worker holds the frequent ones.
+agenda; each candidate merge that comes up is skipped when a hash keyed by seed, document, the unit's place in the text,
+unit, place and merged piece falls below `dropout`. With dropout 0 the result is the model's own. So every occurrence of
+a word is cut by draws of its own, and always alike when run again, on any machine. No cuts are cached; the agendas of
+many units go on side by side, in NumPy.
 
 Pieces join neither across a space's left side nor across a character that no piece holds, so texts are cut into units
 there. Characters without a piece become byte pieces, and so does a literal U+2581, the model's mark for a space:
 decoding gives every text back exactly.
 
-Defined results: null and empty texts give no pieces; a null id takes variant 0; an empty table gives no rows.
+Defined results: null and empty texts give no pieces; a null id draws by the text instead; rows that share an id share their
+draws at equal places; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +31,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LITERAL = "\x00▁"  # a symbol for U+2581 in the text: no piece holds it
-VARIANTS = 4
-CACHE_UNITS = 1_000_000  # over all variants
+UNITS_AT_ONCE = 16_384
 SHORT = 24
-TEXTS_AT_ONCE = 1000
+TEXTS_AT_ONCE = 200
 _M64, _NEVER, _NONE = (1 << 64) - 1, 1 << 62, (1 << 31) - 1
 _K0, _K1, _K2, _K3, _K4 = 0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -145,7 +145,7 @@ class PieceModel:
     def _merge_many(self, ids: np.ndarray, sizes: np.ndarray, base: np.ndarray, limit: int) -> np.ndarray:
         """_merge_short for many units at once: a row of symbol ids each, one step of every row's agenda at a time. -1: no symbol."""
         n, width = ids.shape
-        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+        after, before = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1)), np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
         ranks = np.full((n, width), _NONE, np.int32)
         row, col = np.nonzero(np.arange(1, width + 1) < sizes[:, None])
         ranks[row, col] = self._pair_ranks(ids[row, col], ids[row, col + 1])
@@ -177,7 +177,7 @@ class PieceModel:
             ranks[x, y] = self._pair_ranks(ids[x, y], merged[on])
         return ids
 
-    def segment_many(self, units: list[str], dropout: float, keys: list[int]) -> list[bytes]:
+    def segment_many(self, units: list[str], dropout: float, keys: list[int] | np.ndarray) -> list[bytes]:
         """segment() of each unit with its key, as little-endian uint32 bytes."""
         out: list[bytes] = [b""] * len(units)
         sizes = np.array([len(u) for u in units], np.int64)
@@ -199,7 +199,7 @@ class PieceModel:
                 out[i] = raw[begin:stop]
                 begin = stop
         for i in np.flatnonzero(alone).tolist():
-            out[i] = array("I", self.segment(units[i], dropout, keys[i])).tobytes()
+            out[i] = array("I", self.segment(units[i], dropout, int(keys[i]))).tobytes()
         return out
 
     def decode(self, ids) -> str:
@@ -208,89 +208,92 @@ class PieceModel:
 
 
 class DropoutEncoder:
-    """Encodes texts, with a cache of units by variant: two generations of at most half of `most` units; what is used stays."""
-
-    def __init__(self, path: str, dropout: float, seed: int, variants: int = VARIANTS, most: int = CACHE_UNITS):
-        if not 0 <= dropout <= 1 or variants < 1:
-            raise ValueError("dropout must be in [0, 1] and variants at least 1")
-        self.model, self.dropout, self.seed, self.variants, self.most = PieceModel(path), dropout, seed, variants, most // 2
-        self.keys = [int.from_bytes(hashlib.blake2b(f"{seed}/{v}".encode(), digest_size=8).digest(), "little") for v in range(variants)]
-        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def variant(self, doc_id: int | None) -> int:
-        if doc_id is None:
-            return 0
-        x = ((doc_id ^ self.seed) * _K1) & _M64
-        return (((x ^ (x >> 32)) * _K4 & _M64) >> 40) % self.variants
-
-    def encode_all(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        """Ids of each text in its variant."""
+    """Encodes texts, each by its key. Nothing is kept from text to text: every occurrence of a unit has draws of its own."""
+
+    def __init__(self, path: str, dropout: float, seed: int, most: int = UNITS_AT_ONCE):
+        if not 0 <= dropout <= 1:
+            raise ValueError("dropout must be in [0, 1]")
+        self.model, self.dropout, self.seed, self.most = piece_model(path), dropout, seed, most
+
+    def key(self, doc_id: int | None, text: str = "") -> int:
+        """The key of a document's draws."""
+        name = f"{self.seed}/{doc_id}" if doc_id is not None else f"{self.seed}//{text}"
+        return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+
+    @staticmethod
+    def occurrence_keys(key: int, n: int) -> np.ndarray:
+        """A key for each of a document's n units, by place."""
+        x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_K1) + np.uint64(key)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_K3)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_K4)
+        return x ^ (x >> np.uint64(31))
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids of each text by its key."""
         find = self.model.units.findall
         cut = [find(" " + t) if t else [] for t in texts]
-        wanted: list[set[str]] = [set() for _ in range(self.variants)]
-        for units, v in zip(cut, variants):
-            wanted[v].update(units)
-        if sum(map(len, self.young)) + sum(map(len, wanted)) > self.most:
-            self.young, self.old = [{} for _ in wanted], self.young
-        new, keys = [], []
-        for v, units in enumerate(wanted):
-            young, old = self.young[v], self.old[v]
-            for u in units - young.keys():
-                if (ids := old.get(u)) is None:
-                    new.append(u)
-                    keys.append(v)
-                else:
-                    young[u] = ids
-        for u, v, ids in zip(new, keys, self.model.segment_many(new, self.dropout, [self.keys[v] for v in keys])):
-            self.young[v][u] = ids
-        return [np.frombuffer(b"".join(map(self.young[v].__getitem__, units)), "<u4") for units, v in zip(cut, variants)]
-
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        return self.encode_all([text], [variant])[0]
+        units = [u for x in cut for u in x]
+        own = np.concatenate([np.zeros(0, np.uint64), *[self.occurrence_keys(k, len(x)) for k, x in zip(keys, cut)]])
+        ids: list[bytes] = []
+        for at in range(0, len(units), self.most):
+            ids += self.model.segment_many(units[at : at + self.most], self.dropout, own[at : at + self.most])
+        out, begin = [], 0
+        for x in cut:
+            out.append(np.frombuffer(b"".join(ids[begin : begin + len(x)]), "<u4"))
+            begin += len(x)
+        return out
+
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
+        return self.encode_all([text], [key])[0]
 
 
+_models: dict = {}
 _encoders: dict = {}
 
 
-def encoder(path: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
-    key = (path, dropout, seed, variants)
+def piece_model(path: str) -> PieceModel:
+    if path not in _models:
+        _models[path] = PieceModel(path)
+    return _models[path]
+
+
+def encoder(path: str, dropout: float, seed: int) -> DropoutEncoder:
+    key = (path, dropout, seed)
     if key not in _encoders:
         _encoders[key] = DropoutEncoder(*key)
     return _encoders[key]
 
 
-def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes (of the text), n_pieces, variant, lossless (the ids were decoded and gave the text), ids."""
+def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: doc_id, n_bytes (of the text), n_pieces, lossless (the ids were decoded and gave the text), ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model, dropout, seed, variants)
+        enc = encoder(model, dropout, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(at, TEXTS_AT_ONCE)
                 texts = batch.column(1).to_pylist()
-                which = [enc.variant(x) for x in batch.column(0).to_pylist()]
-                ids = enc.encode_all(texts, which)
+                ids = enc.encode_all(texts, [enc.key(x, t) for x, t in zip(batch.column(0).to_pylist(), texts)])
                 sizes = pa.compute.binary_length(batch.column(1))
                 same = [enc.model.decode(x.tolist()) == t for x, t in zip(ids, texts)]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), sizes.cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(which, pa.int32()), pa.array(same, pa.bool_()),
+                        batch.column(0), sizes.cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
                     ],
-                    names=["doc_id", "n_bytes", "n_pieces", "variant", "lossless", "ids"],
+                    names=["doc_id", "n_bytes", "n_pieces", "lossless", "ids"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, variant int, lossless boolean, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, lossless boolean, ids array<int>")
 
 
 def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """doc_id and the text that its ids stand for. Null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = encoder(model, 0.0, 0, 1).model
+        m = piece_model(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 

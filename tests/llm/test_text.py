@@ -207,6 +207,28 @@ def test_small_cache_changes_nothing(texts):
     assert all((x == y).all() for x, y in zip(a.encode_all(some, [0] * 40), [b.encode(t) for t in some]))
 
 
+def test_every_occurrence_draws_for_itself(frame):
+    """One default merge after another: in a long document and over documents, about dropout of them are skipped, not of 4 variants."""
+    enc = piece_dropout.DropoutEncoder(PIECES, 0.1, 1)
+    whole = enc.model.segment(" the", 0.0)
+    assert len(whole) == 1
+    ids = enc.encode(" ".join(["the"] * 20_000), 7)
+    alone = np.mean([enc.model.segment(" the", 0.1, k * 0x9E3779B97F4A7C15) != whole for k in range(20_000)])
+    assert alone > 0.05 and abs(1 - np.count_nonzero(ids == whole[0]) / 20_000 - alone) < 0.02
+    docs = frame([(i, "the") for i in range(400)])
+    cuts = [tuple(r.ids) for r in piece_dropout.encode_pieces(docs, PIECES, 0.1, 1).collect()]
+    assert abs(sum(x != tuple(whole) for x in cuts) / 400 - alone) < 0.08
+    texts = [" ".join(["interoperability"] * 500)]
+    find = enc.model.units.findall
+    for most in (1_000_000, 50):
+        other = piece_dropout.DropoutEncoder(PIECES, 0.1, 1, most=most)
+        for key in (0, 1 << 63):
+            units = find(" " + texts[0])
+            want = [enc.model.segment(u, 0.1, int(k)) for u, k in zip(units, other.occurrence_keys(key, len(units)))]
+            got = other.encode_all(texts, [key])[0].tolist()
+            assert got == [i for x in want for i in x] and len(set(map(tuple, want))) > 8
+
+
 # ---- token files
 
 
