@@ -181,6 +181,26 @@ def test_lines_against_brute_force(spark, documents, monkeypatch, small, block):
     assert got == {(r.doc_id, r.line_no): first[comp[number[r.norm]]] == (r.doc_id, r.line_no) for r in rows}
 
 
+@pytest.mark.parametrize("small,block", [(1, 5), (16, 512)])
+def test_edits_decide(frame, monkeypatch, small, block):
+    """Lines of 6 to 100 words with one character changed, or a twelfth of the words: all are dropped, and no other line."""
+    monkeypatch.setattr(linking, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), rng.integers(3, 9)))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range((6, 10, 20, 30, 50, 100)[i % 6])]
+        line, at = " ".join(words), int(rng.integers(2, 20))
+        rows.append((i, line + "\nstays " + " ".join(word() for _ in range(5))))
+        rows.append((100 + i, line[:at] + "q" + line[at + 1 :]))
+        for k in rng.choice(len(words), len(words) // 12, replace=False):
+            words[k] = words[k][::-1]
+        rows.append((200 + i, " ".join(words)))
+    got = {r.id: r.dropped for r in line_dedup.dropped_lines(frame(rows)).collect()}
+    assert got == {i: [0] for i, _ in rows if i >= 100}
+
+
 def test_simhash_lanes(spark):
     from pyspark.sql import functions as F
 
