@@ -15,8 +15,9 @@ def test_checks(spark):
     rows = spark.createDataFrame([("ACGTN",), ("",), ("ACGx",), ("acgt",), ("A\n",), (None,)], "s string")
     got = rows.select(S.is_content("s"), S.bad_position("s")).collect()
     assert [tuple(r) for r in got] == [(True, None), (True, None), (False, 3), (False, 0), (False, 1), (None, None)]
-    with pytest.raises(Exception, match="position 3"):
-        rows.select(S.checked("s")).collect()
+    for text, position in (("ACGx", 3), ("acgt", 0), ("A\n", 1)):
+        with pytest.raises(Exception, match=f"position {position}"):
+            one(spark, S.checked(F.lit(text)))
     with pytest.raises(Exception, match="longer than 4"):
         one(spark, S.checked(F.lit("ACGTA"), capacity=4))
     assert one(spark, S.is_content(F.lit("!~"), "quality")) and not one(spark, S.is_content(F.lit(" "), "quality"))
