@@ -5,32 +5,36 @@ targets of one dimension after another until all marginals agree; a sweep is thr
 cell table, which is as large as there are combinations, not documents. The calibrated weight over the tokens there
 are gives each cell a rate; rates are scaled to the token budget and held to at most 1 (no document is repeated), and
 the scale is found again with the held cells set aside. A document is sampled when its keyed hash falls below its
-cell's probability: the same documents in every run and on every machine.
+cell's probability: the same documents in every run and on every machine. The key holds the id, text, source and
+language, so rows that repeat an id draw apart unless they are alike in all of these.
 
 The default target of a value is its share of the tokens to the power of the dimension's `alpha`, so 1 keeps a
 marginal and 0 makes it even; targets can be given as tables (value, share) instead. The default topic is the text's
 form: tabular, shouting, symbols, digits, short prose or long prose.
 
 Defined results: null source or language counts as ''; null and empty texts have no tokens, belong to their cell and
-are sampled with its probability (1 if the cell has no tokens at all); a null id is hashed as such with its text; an
-empty table gives no rows. Values that a target table lacks get no weight; targets of values that do not occur are left
+are sampled with its probability (1 if the cell has no tokens at all); a null id is hashed as such with its text; texts of
+any length are counted whole, within Spark's expressions; an empty table gives no rows. Where the cells that exist cannot
+meet the targets, raking ends after `sweeps` with the weights it has and warns. Values that a target table lacks get no weight; targets of values that do not occur are left
 out and the others scaled up.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import spread_join
-from .shared import cut, drop_cut, unit, without
+from .shared import cut, drop_cut, without
 
 DIMENSIONS = ("source", "lang", "topic")
 ALPHAS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 BUDGET = 0.8
 SWEEPS, TOLERANCE = 40, 1e-6
-#: Cells of a table that may be broadcast; beyond it, the decisions are joined by document id.
-BROADCAST_CELLS = 100_000
+#: Relative error of a marginal after the last sweep that is worth a warning.
+WARN_ABOVE = 0.01
 #: Cells that one task may rake by itself, which saves the exchanges; larger tables are raked by the same steps, distributed.
 ONE_TASK_CELLS = 20_000
 
@@ -53,18 +57,28 @@ def text_form(text: Column, tokens: Column) -> Column:
     )
 
 
-def cells_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, carry: bool = False) -> DataFrame:
-    """One narrow row per document: doc_id, source, lang, topic, n_tokens, draw (its keyed number in [0, 1)); with `carry`, its own columns as the struct _row."""
+def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Column:
+    """A hash of all that decides on a row: rows of one key are alike in it, and sampled alike."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.xxhash64(F.lit("mixing"), F.col(id_col).cast("long"), text, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (source_col, lang_col)])
+
+
+def cells_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+    """One narrow row per document: doc_id, source, lang, topic, n_tokens, key (row_key)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((source_col, "source"), (lang_col, "lang"))],
-        F.lit(None).cast("string").alias("topic") if topic is None else F.coalesce(topic.cast("string"), F.lit("")).alias("topic"), text.alias("text"), text_tokens(text).alias("n_tokens"), *carried,
+        F.lit(None).cast("string").alias("topic") if topic is None else F.coalesce(topic.cast("string"), F.lit("")).alias("topic"), text.alias("text"), text_tokens(text).alias("n_tokens"),
+        row_key(id_col, text_col, source_col, lang_col).alias("key"),
     )
     if topic is None:
         rows = rows.withColumn("topic", text_form(F.col("text"), F.col("n_tokens")))
-    draw = unit(F.lit("mixing"), F.col("doc_id"), F.col("text")).alias("draw")
-    return rows.select("doc_id", *DIMENSIONS, "n_tokens", draw, *(["_row"] if carry else []))
+    return rows.select("doc_id", *DIMENSIONS, "n_tokens", "key")
+
+
+def draw(key: Column) -> Column:
+    """A row's number in [0, 1)."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
 def default_targets(cells: DataFrame, dimension: str, alpha: float) -> DataFrame:
@@ -88,7 +102,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
             now = now.join(goal.withColumnRenamed("goal", f"_g{d}"), d, "left")
             columns.append(f"_g{d}")
         now = cut(now, "raked")
-    kept = None
+    kept, off = None, 0.0
     for _ in range(0, sweeps, each):
         for _ in range(each):
             now = sweep(now, goals)
@@ -100,6 +114,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         now = now.select(*columns)
         if off < tolerance:
             break
+    if off > WARN_ABOVE:
+        warnings.warn(f"raking: after {sweeps} sweeps a marginal is still off by {off:.1%}; the cells that exist may not allow the targets", stacklevel=2)
     return now.select(*cells.columns, "weight")
 
 
@@ -145,19 +161,23 @@ def mix(rows: DataFrame, alphas: dict[str, float] | None = None, budget: float =
     return cut(probabilities(rake(cells, goals), budget), "mixed")
 
 
+def _decided(rows: DataFrame, alphas: dict[str, float] | None, budget: float, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """`rows` (cells_of, cut) with their cell's weight and probability, and sampled. Joined by cell, whatever the number of cells."""
+    cells = mix(rows, alphas, budget, targets).select(*DIMENSIONS, "weight", "probability")
+    return spread_join(rows, cells, list(DIMENSIONS)).withColumn("sampled", draw(F.col("key")) < F.col("probability"))
+
+
 def mixing_decisions(docs: DataFrame, alphas: dict[str, float] | None = None, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, **columns) -> DataFrame:
     """One row per row of `docs`: doc_id, source, lang, topic, n_tokens, weight (of its cell), probability, sampled."""
-    rows = cut(cells_of(docs, **columns), "rows")
-    cells = mix(rows, alphas, budget, targets).select(*DIMENSIONS, "weight", "probability")
-    return spread_join(rows, cells, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
+    return _decided(cut(cells_of(docs, **columns), "rows"), alphas, budget, targets).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
 
 
 def mix_sample(docs: DataFrame, alphas: dict[str, float] | None = None, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The sampled rows of `docs`, with their own columns. Ids must be unique where there are more than BROADCAST_CELLS cells."""
+    """The sampled rows of `docs`, with their own columns: those that mixing_decisions samples, one way for any number of cells.
+
+    Texts are counted once. Rows that are not sampled go by their key, which holds all that decides on a row.
+    """
     names = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "lang_col": lang_col}
-    cells = mix(cells_of(docs, **names), alphas, budget, targets).select(*DIMENSIONS, "probability")
-    if cells.count() <= BROADCAST_CELLS:
-        rows = cells_of(docs, **names, carry=True).join(F.broadcast(cells), list(DIMENSIONS))
-        return rows.where(F.col("draw") < F.col("probability")).select("_row.*")
-    gone = mixing_decisions(docs, alphas, budget, targets, **names).where("not sampled").select(F.col("doc_id").alias("id")).distinct()
-    return without(docs, cut(gone, "gone"), id_col)
+    rows = cut(cells_of(docs, **names), "rows")
+    gone = cut(_decided(rows, alphas, budget, targets).where("not sampled").select(F.col("key").alias("id")).distinct(), "gone")
+    return without(docs, gone, row_key(**names))

@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a sieve. 2**24 bits are at most 512 rows of 4 KiB: 2 MiB, whatever the input holds.
-SIEVE_BITS = 1 << 24
+#: Least and most bits of a sieve. 2**24 bits are at most 512 rows of 4 KiB, 2 MiB; 2**29 bits are 64 MiB, whatever the input holds.
+SIEVE_BITS, MOST_SIEVE_BITS = 1 << 24, 1 << 29
 _WORD = 32768  # bits of one bitmap row of Spark's bitmap functions
 
 
@@ -19,9 +19,11 @@ _own: dict[str, str] = {}  # by application, where the session names no folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a fresh one where it is unset."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="strandline-")
@@ -29,10 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has cut, once no DataFrame that reads them is needed any more."""
+    _delete(spark, _tables(spark))
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends here, and a lost executor costs a re-read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_path = path
@@ -41,11 +57,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def drop_cut(df: DataFrame | None) -> None:
     """Delete a table made by cut() that nothing reads any more."""
-    path = getattr(df, "_strandline_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path := getattr(df, "_strandline_path", None):
+        _delete(df.sparkSession, path)
+
+
+def sieve_bits(keys: int) -> int:
+    """Bits of a sieve for so many keys: eight a key, so that about one other key in nine passes, within the bounds.
+
+    Beyond 64 million keys more of the others pass. That only costs the caller a larger exchange, as passing never decides.
+    """
+    return min(MOST_SIEVE_BITS, max(SIEVE_BITS, 1 << (8 * keys).bit_length()))
 
 
 def sieve(keys: DataFrame, key: Column, bits: int = SIEVE_BITS) -> DataFrame:
@@ -73,12 +94,14 @@ def unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows of `docs` whose id isn't in gone.id, with their own columns.
+def without(docs: DataFrame, gone: DataFrame, key: str | Column) -> DataFrame:
+    """The rows of `docs` whose key (an id column's name, or a long of its own) isn't in gone.id, with their own columns.
 
     Rows that the sieve clears pass without a shuffle; only the others, those gone and a few more, go through a join.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = sift(docs.select(F.struct(*columns).alias("_row"), F.col(id_col).cast("long").alias("_id")), F.col("_id"), sieve(gone, F.col("id")), "_hit")
+    key = F.col(f"`{key}`").cast("long") if isinstance(key, str) else key
+    bits = sieve_bits(gone.count())
+    rows = sift(docs.select(F.struct(*columns).alias("_row"), key.alias("_id")), F.col("_id"), sieve(gone, F.col("id"), bits), "_hit", bits)
     maybe = rows.where("_hit").join(gone.select(F.col("id").alias("_gone")), F.col("_id") == F.col("_gone"), "left_anti")
     return rows.where("not _hit").unionByName(maybe).select("_row.*")

@@ -148,10 +148,27 @@ def test_mixing(documents, monkeypatch, one_task):
     assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == set(df[df.sampled].doc_id)
 
 
-def test_mixing_by_id_beyond_the_broadcast(documents, monkeypatch):
-    here = {r.doc_id for r in mixing.mix_sample(documents).collect()}
-    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
-    assert {r.doc_id for r in mixing.mix_sample(documents).collect()} == here
+def test_mixing_repeated_ids(spark):
+    """Many cells, rows that repeat ids: row by row as mixing_decisions has it, and as the formula says."""
+    rows = [(i % 50, f"text {i % 40} " * (i % 7 + 1), f"s{i % 90}", "en") for i in range(400)] + [(None, "none", "s1", "en")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for auto in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        decided = Counter((r.doc_id, r.source, r.n_tokens) for r in mixing.mixing_decisions(docs).where("sampled").collect())
+        kept = mixing.mix_sample(docs).collect()
+        assert Counter((r.doc_id, r.source, len(r.text.split())) for r in kept) == decided and 200 < len(kept) < 402
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    cells = {(r.source, r.lang, r.topic): r.probability for r in mixing.mix(mixing.cells_of(docs)).collect()}
+    want = [r for r in mixing.cells_of(docs).select("*", mixing.draw(F.col("key")).alias("draw")).collect() if r.draw < cells[r.source, r.lang, r.topic]]
+    assert Counter((r.doc_id, r.source, r.n_tokens) for r in want) == decided
+
+
+def test_mixing_targets_that_cannot_be_met(spark, frame):
+    docs = frame([(i, "a b c") for i in range(10)]).withColumn("source", F.when(F.col("doc_id") < 5, "x").otherwise("y")).withColumn("lang", F.col("source"))
+    goal = lambda x, y: spark.createDataFrame([("x", x), ("y", y)], "value string, share double")
+    with pytest.warns(UserWarning, match="raking"):
+        cells = mixing.mix(mixing.cells_of(docs), targets={"source": goal(1.0, 3.0), "lang": goal(3.0, 1.0)}).collect()
+    assert abs(sum(c.weight for c in cells) - 1) < 1e-6
 
 
 def test_mixing_awkward(spark, frame):
