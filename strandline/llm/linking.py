@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop_cut
+from .shared import cut, drop_cut, sieve, sieve_bits, sift
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -50,36 +50,65 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-#: Buckets of at most so many members are compared in full at once: at most half as many pairs as this for each member.
+#: Buckets of at most so many members give all their open pairs at once: at most half as many as this for each member.
 SMALL = 16
 
 
-def link_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], block: int) -> DataFrame:
-    """Components of the links among bucket mates: id, component, for ids with a link.
+def live_buckets(members: DataFrame) -> DataFrame:
+    """bucket, id, size, n (members) and head (smallest id) of the buckets that more than one id shares; cut.
 
-    `members` has bucket, id and size, each id once a bucket. Every pair of one bucket for which fits(size, size) holds
-    is confirmed, refused, or left out because its ends are in one component already; so no link is lost that matters.
-    Small buckets give all their pairs to confirm(pairs a, b) -> links a, b. In a large one, members are compared with
-    one pivot first, and as a rule that makes the bucket one component. Buckets that stay mixed are dealt in blocks of
-    about `block` members, each block meeting each other once, and within(rows) -> links a, b looks at the pairs of
-    different labels in place: no row is made for a pair that isn't a link. Its rows have bucket, i, j (the blocks that
+    `members` has bucket, id and size, each id once a bucket. A bitmap of the shared buckets comes first, so that members
+    of others are not shuffled; buckets with the same members count once.
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("n > 1")
+    sizes = cut(sizes.groupBy("n", "head", "mark").agg(F.min("bucket").alias("bucket")).drop("mark"), "sizes")
+    bits = sieve_bits(sizes.count())
+    near = sift(members, F.col("bucket"), sieve(sizes, F.col("bucket"), bits), "hit", bits).where("hit").select("bucket", "id", "size")
+    live = cut(spread_join(near, sizes, ["bucket"]), "buckets")
+    drop_cut(sizes)
+    return live
+
+
+def link_groups(live: DataFrame, confirm: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], block: int, weight: Callable[[Column], Column] = lambda size: F.lit(1)) -> DataFrame:
+    """Components of the links among bucket mates (live_buckets): id, component, for ids with a link.
+
+    Every pair of one bucket for which fits(size, size) holds is confirmed, refused, or left out because its ends are in
+    one component already; so no link is lost that matters. First each member meets one head, the smallest of its buckets'
+    heads, by confirm(pairs a, b) -> links a, b; then the heads of those of its buckets that are still mixed; and as a rule
+    that makes a bucket one component. Small buckets that stay mixed give their open pairs. Large ones are dealt in blocks
+    of about `block` by weight(size), each block meeting each other once, and within(rows) -> links a, b looks at the pairs
+    of different labels in place: no row is made for a pair that isn't a link. Its rows have bucket, i, j (the blocks that
     meet), part (i or j: pairs of one part count only where i = j), id, size and label.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
-    live = cut(spread_join(members, sizes, ["bucket"]), "buckets")
-    little, large = live.where(F.col("n") <= SMALL), live.where(F.col("n") > SMALL)
-    other = little.select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"))
-    pairs = little.join(other, "bucket").where((F.col("id") < F.col("b")) & fits(F.col("size"), F.col("size_b"))).select(F.col("id").alias("a"), "b")
-    heads = large.where("id = head").select("bucket", F.col("size").alias("size_a"))
-    star = spread_join(large.where("id <> head"), heads, ["bucket"]).where(fits(F.col("size"), F.col("size_a"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    links = cut(confirm(pairs.unionByName(star).distinct()), "links")
+    heads = live.where("id = head").select("bucket", F.col("size").alias("head_size"))
+    star = spread_join(live.where("id <> head"), heads, ["bucket"]).where(fits(F.col("size"), F.col("head_size"))).groupBy("id").agg(F.min("head").alias("head"))
+    first = cut(star.select(F.col("head").alias("a"), F.col("id").alias("b")), "pairs")
+    links = cut(confirm(first), "links")
+    rest = _mixed(live, components(links))
+    if not rest.isEmpty():
+        heads = rest.where("id = head").select("bucket", F.col("size").alias("head_size"), F.col("label").alias("head_label"))
+        star = spread_join(rest.where("id <> head"), heads, ["bucket"]).where(fits(F.col("size"), F.col("head_size")) & (F.col("label") != F.col("head_label")))
+        again = star.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        links = cut(links.unionByName(confirm(again)), "links")
+        rest = _mixed(rest, components(links))
+    little = rest.where(F.col("n") <= SMALL)
+    if not little.isEmpty():
+        other = little.where("id <> head").select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+        pairs = little.where("id <> head").join(other, "bucket").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits(F.col("size"), F.col("size_b")))
+        links = cut(links.unionByName(confirm(pairs.select(F.col("id").alias("a"), "b").distinct())), "links")
     found = components(links)
-    labelled = large.select("bucket", "id", "size", "n").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut(spread_join(labelled, mixed, ["bucket"]), "mixed")
+    rest = _mixed(rest.where(F.col("n") > SMALL), found)
     if rest.isEmpty():
         return found
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("bucket", "id"), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    totals = rest.groupBy("bucket").agg(F.ceil(F.sum(weight(F.col("size"))) / block).cast("int").alias("blocks"))
+    dealt = spread_join(rest, totals, ["bucket"]).withColumn("part", F.pmod(F.xxhash64("bucket", "id"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "id", "size", "label")
     return components(links.unionByName(within(dealt)))
+
+
+def _mixed(live: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with label (component or own id), of the buckets in which more than one label is left; cut."""
+    columns = ["bucket", "id", "size", "n", "head"]
+    labelled = spread_join(live.select(*columns), found, ["id"], "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return cut(spread_join(labelled, mixed, ["bucket"]).select(*columns, "label"), "mixed")

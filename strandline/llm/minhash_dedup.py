@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link_groups, spread_join
-from .shared import cut, sieve, sift, without
+from .linking import link_groups, live_buckets, spread_join
+from .shared import cut, drop_cut, sieve, sieve_bits, sift, without
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -191,6 +192,22 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Texts are taken in runs of about so many bytes, as their sizes, not their number, decide the memory.
+RUN_BYTES, RUN_ROWS = 8 << 20, 1000
+
+
+def byte_runs(texts: pa.Array, most: int = RUN_BYTES, rows: int = RUN_ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of at most `most` bytes together, and at most `rows`; a longer text is a range of its own."""
+    sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy()
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = int(ends[at - 1]) if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + most, "right"))), at + rows)
+        yield at, stop
+        at = stop
+
+
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
 
 
@@ -199,8 +216,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at, stop in byte_runs(whole.column(1)):
+                batch = whole.slice(at, stop - at)
                 n, h1, h2, mins = [], [], [], np.zeros((batch.num_rows, SAMPLES), np.uint32)
                 for i, s in enumerate(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())):
                     n.append(len(s))
@@ -221,25 +238,31 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at, stop in byte_runs(whole.column(1)):
+                batch = whole.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())], pa.binary())], names=["doc_id", "set"])
 
-    rows = sift(_rows(docs, id_col, text_col), F.col("doc_id"), sieve(ids, F.col("id")), "hit").where("hit").drop("hit")
+    bits = sieve_bits(ids.count())
+    rows = sift(_rows(docs, id_col, text_col), F.col("doc_id"), sieve(ids, F.col("id"), bits), "hit", bits).where("hit").drop("hit")
     return rows.mapInArrow(run, "doc_id long, set binary")
 
 
+def _wanted_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and set of the documents with these ids (a cut table)."""
+    return cut(_sets(docs, ids, id_col, text_col).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "sets")
+
+
 def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * LINK_PERCENT
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    near = spread_join(spread_join(pairs, side("a"), ["a"]), side("b"), ["b"])
     differing = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])))
     near = cut(near.where(differing <= most_differing_bits(SKETCH_FLOOR)).select("a", "b"), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_sets(docs, ids, id_col, text_col).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "sets")
+    ids = cut(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = _wanted_sets(docs, ids, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,12 +276,16 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, id_col: s
                 keep.append(100 * both >= LINK_PERCENT * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_sets = near.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_sets.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    with_sets = spread_join(near, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
+    with_sets = spread_join(with_sets, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
+    links = cut(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "confirmed")
+    for table in (near, ids, sets):
+        drop_cut(table)
+    return links
 
 
-#: Members of a block of a large bucket: what a task holds is at most two blocks' sets.
-BLOCK = 1024
+#: Bytes of the sets in a block of a large bucket: what a task holds is at most two blocks.
+BLOCK = 16 << 20
 
 
 def links_in_block(part: np.ndarray, same_block: bool, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -295,9 +322,9 @@ def links_in_block(part: np.ndarray, same_block: bool, labels: np.ndarray, sizes
 
 
 def _within(rows: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    ids = rows.select("id").distinct()
-    sets = cut(_sets(docs, ids, id_col, text_col).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "sets")
-    full = rows.join(sets.withColumnRenamed("doc_id", "id"), "id").join(heads.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    ids = cut(rows.select("id").distinct(), "ids")
+    sets = _wanted_sets(docs, ids, id_col, text_col).withColumnRenamed("doc_id", "id")
+    full = spread_join(spread_join(rows, sets, ["id"]), heads.select(F.col("doc_id").alias("id"), "sketch"), ["id"])
 
     def run(table: pa.Table) -> pa.Table:
         part, labels = (table.column(c).to_numpy() for c in ("part", "label"))
@@ -318,7 +345,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = spread_join(full, classes.select("h1", "h2", "class_id"), ["h1", "h2"]).where("doc_id = class_id").dropDuplicates(["h1", "h2"])
     heads = cut(heads.select("doc_id", "n_shingles", "bands", "sketch"), "heads")
     members = heads.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
-    links = link_groups(members, lambda pairs: _confirmed(pairs, heads.select("doc_id", "sketch"), docs, id_col, text_col), lambda rows: _within(rows, heads, docs, id_col, text_col), _fits, BLOCK)
+    live = live_buckets(members)
+    links = link_groups(live, lambda pairs: _confirmed(pairs, heads.select("doc_id", "sketch"), docs, id_col, text_col), lambda rows: _within(rows, heads, docs, id_col, text_col), _fits, BLOCK, lambda size: size * 8)
     placed = classes.join(links, F.col("class_id") == F.col("id"), "left").select("h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     linked = spread_join(full.select("doc_id", "n_shingles", "h1", "h2"), placed, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
     alone = sig.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))

@@ -46,12 +46,12 @@ def text_tokens(text: Column) -> Column:
 def text_form(text: Column, tokens: Column) -> Column:
     """The form of a text by the marks in it."""
     size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
+    share = lambda marks: F.regexp_count(text, F.lit(f"[{marks}]")) / size
     return (
-        F.when(share("|\t") > 0.02, "tabular")
+        F.when(share(r"|\t") > 0.02, "tabular")
         .when(share("!") > 0.05, "shouting")
-        .when(share("#$%&*@<>{}[]=\\^~") > 0.04, "symbols")
-        .when(share("0123456789") > 0.1, "digits")
+        .when(share(r"#$%&*@<>{}\[\]=\\^~") > 0.04, "symbols")
+        .when(share("0-9") > 0.1, "digits")
         .when(tokens < 150, "short prose")
         .otherwise("long prose")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import kneser_ney
 from .backoff_lm import backoff_scores
 from .exact_dedup import exact_groups
-from .line_dedup import dropped_lines
+from .line_dedup import with_dropped
 from .minhash_dedup import near_groups
 from .mixing import mixing_decisions
 from .piece_dropout import encode_pieces
@@ -43,11 +43,10 @@ def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    drops = dropped_lines(docs)
-    rows = lines.join(drops, F.col("doc_id") == F.col("id"), "left")
-    return rows.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
+    rows = with_dropped(table(spark, sf_dir, "documents"), [F.col("doc_id"), n_lines])
+    n_dropped = F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped")
+    return rows.select("doc_id", "n_lines", n_dropped, F.coalesce(F.array_join("_dropped", ","), F.lit("")).alias("dropped"))
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -79,7 +79,7 @@ def test_near_groups(documents, texts):
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in texts}
 
 
-@pytest.mark.parametrize("small,block", [(1, 7), (16, 1024)])
+@pytest.mark.parametrize("small,block", [(1, 8000), (16, 1 << 24)])
 def test_near_groups_of_many_variants(frame, monkeypatch, small, block):
     """A chain of variants: large buckets that one pivot doesn't settle, over several blocks."""
     monkeypatch.setattr(linking, "SMALL", small)
@@ -137,48 +137,118 @@ LINES = [
     (4, None),
     (5, ""),
     (None, "keep me"),
+    (6, "a line of its own\nkeep me too, please"),
+    (6, "another text under the same id\nnothing else has this line"),
+    (7, "said twice\nsaid twice"),
+    (7, "said twice\nsaid twice"),
 ]
 
 
 def test_lines(frame):
-    rows = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_groups(frame(LINES)).collect()}
-    assert rows == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): True, (3, 0): False, (3, 1): False, (3, 2): True}
+    rows = {(r.doc_id, r.line_no, r.row): r.kept for r in line_dedup.line_groups(frame(LINES)).collect()}
+    assert {(i, n) for (i, n, _), kept in rows.items() if not kept} == {(2, 0), (3, 0), (3, 1), (7, 1)} and len(rows) == 13
     clean = line_dedup.dedup_lines(frame(LINES))
     assert clean.columns == frame(LINES).columns
-    got = {r.doc_id: r.text for r in clean.collect()}
-    assert got == {1: LINES[0][1], 2: "other line here 12", 3: "not at all alike", 4: None, 5: "", None: "keep me"}
-    assert line_dedup.dropped_lines(frame([])).collect() == []
+    got = sorted(((r.doc_id, r.text) for r in clean.collect()), key=str)
+    want = [LINES[0], (2, "other line here 12"), (3, "not at all alike"), *LINES[3:8], (7, "said twice"), (7, "said twice")]
+    assert got == sorted(want, key=str)
+    assert line_dedup.dropped_lines(frame([])).collect() == [] and line_dedup.dedup_lines(frame([])).collect() == []
+
+
+def normal(line):
+    return re.sub("[1-9]", "0", re.sub(r"[\x00-/:-`{-\x7f]+", " ", line.lower())).strip(" ")
+
+
+def within(a, b, most):
+    """Whether the edit distance is at most `most`, by the band of the table around its diagonal."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far, row = most + 1, {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if j == 0 else min(new.get(j - 1, far) + 1, row.get(j, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+        if min(new.values()) > most:
+            return False
+        row = new
+    return row.get(len(b), far) <= most
+
+
+def alike_pairs(names):
+    """All pairs within 15 %: by lengths and counts of characters first, which rule out no such pair."""
+    letters = sorted({c for n in names for c in n})
+    place = {c: k for k, c in enumerate(letters)}
+    counts = np.zeros((len(names), len(letters)), np.int16)
+    for i, n in enumerate(names):
+        for c, k in Counter(n).items():
+            counts[i, place[c]] = k
+    sizes = np.array([len(n) for n in names])
+    for i, a in enumerate(names):
+        most = np.maximum(sizes[:i], sizes[i]) * 15 // 100
+        off = np.abs(counts[:i] - counts[i]).sum(axis=1)
+        for j in np.flatnonzero((np.abs(sizes[:i] - sizes[i]) <= most) & (off <= 2 * most)):
+            if within(a, names[j], int(most[j])):
+                yield i, int(j)
 
 
 @pytest.mark.parametrize("small,block", [(1, 5), (16, 512)])
 def test_lines_against_brute_force(spark, documents, monkeypatch, small, block):
+    """Groups against plain edit similarity over all pairs: no line is dropped without an alike one, and hardly any stays."""
     monkeypatch.setattr(linking, "SMALL", small)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    docs = documents.where("doc_id < 180")
+    lines = [(r.doc_id, n, normal(x)) for r in docs.collect() for n, x in enumerate((r.text or "").split("\n"))]
+    lines = [x for x in lines if x[2]]
+    names = list(dict.fromkeys(x[2] for x in lines))
+    pairs = list(alike_pairs(names))
+    comp = grouped(range(len(names)), pairs)
+    number, first = {n: i for i, n in enumerate(names)}, {}
+    for i, n, x in sorted(lines):
+        first.setdefault(comp[number[x]], (i, n))
+    want = {(i, n): first[comp[number[x]]] == (i, n) for i, n, x in lines}
+    rows = line_dedup.line_groups(docs).collect()
+    got = {(r.doc_id, r.line_no): r.kept for r in rows}
+    assert got.keys() == want.keys() and all(got[x] for x in got if want[x])
+    dropped = [x for x in want if not want[x]]
+    assert len(pairs) > 20 and sum(not got[x] for x in dropped) >= 0.98 * len(dropped)
+    group = {(r.doc_id, r.line_no): r.group_id for r in rows}
+    of = {x: group[i, n] for i, n, x in lines}
+    assert sum(of[names[a]] == of[names[b]] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_upper_bound(spark):
     from pyspark.sql import functions as F
 
-    docs = documents.where("doc_id < 60")
-    rows = line_dedup.lines_of(docs, "doc_id", "text").withColumn("h", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).collect()
-    sketch = lambda h: sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    classes = {r.norm: sketch(r.h) for r in rows}
-    names = list(classes)
-    near = [(a, b) for k, a in enumerate(names) for b in names[:k] if bin(classes[a] ^ classes[b]).count("1") <= 3 and min(len(a), len(b)) * 100 >= max(len(a), len(b)) * 85]
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    number = {n: i for i, n in enumerate(names)}
-    comp = grouped(range(len(names)), [(number[a], number[b]) for a, b in near if distance(a, b) <= max(len(a), len(b)) * 15 // 100])
-    first = {}
-    for r in rows:
-        g = comp[number[r.norm]]
-        first[g] = min(first.get(g, (1 << 60, 0)), (r.doc_id, r.line_no))
-    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_groups(docs).collect()}
-    assert got == {(r.doc_id, r.line_no): first[comp[number[r.norm]]] == (r.doc_id, r.line_no) for r in rows}
+    rng = np.random.default_rng(3)
+    rows = [("", ""), ("a", ""), ("a b", "a c b"), ("x y z", "x y z")]
+    for _ in range(200):
+        words = [f"w{k}" * int(rng.integers(1, 3)) for k in rng.integers(0, 30, rng.integers(1, 25))]
+        other = [w if rng.random() > 0.1 else f"v{rng.integers(9)}" for w in words]
+        at = int(rng.integers(0, len(words) + 1))
+        rows.append((" ".join(words), " ".join(other[:at] + ["new"] * int(rng.integers(0, 3)) + other[at:])))
+    got = spark.createDataFrame(rows, "x string, y string").select(F.expr(line_dedup.upper_bound("x", "y")).alias("u"), F.levenshtein("x", "y").alias("d")).collect()
+    assert all(r.u >= r.d for r in got) and sum(r.u <= 2 * r.d + 6 for r in got) > 150 and got[3].u == 0
+
+
+@pytest.mark.parametrize("words", [6, 10, 15, 25, 50])
+def test_one_character(frame, words):
+    rng = np.random.default_rng(words)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9)))
+    rows = []
+    for i in range(150):
+        line = " ".join(word() for _ in range(words))
+        at = int(rng.integers(0, len(line)))
+        rows += [(i, line), (1000 + i, line[:at] + "#q"[line[at] != "q"] + line[at + 1 :])]
+    got = {r.doc_id for r in line_dedup.dropped_lines(frame(rows)).collect()}
+    assert got <= set(range(1000, 1150)) and len(got) >= 0.95 * 150
+
+
+def test_long_and_unspaced_lines(frame):
+    rng = np.random.default_rng(8)
+    han = lambda n: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, n))
+    a, b, long = han(30), han(300), " ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 9000))
+    rows = [(1, a), (2, a[:10] + "x" + a[11:]), (3, b), (4, b[:100] + b[103:]), (5, long), (6, long[:50_000] + " more words " + long[50_000:]), (7, "x " * 40_000), (8, "x " * 39_000)]
+    assert {r.doc_id for r in line_dedup.dropped_lines(frame(rows)).collect()} == {2, 4, 6, 8}
 
 
 @pytest.mark.parametrize("small,block", [(1, 5), (16, 512)])
@@ -197,14 +267,5 @@ def test_edits_decide(frame, monkeypatch, small, block):
         for k in rng.choice(len(words), len(words) // 12, replace=False):
             words[k] = words[k][::-1]
         rows.append((200 + i, " ".join(words)))
-    got = {r.id: r.dropped for r in line_dedup.dropped_lines(frame(rows)).collect()}
+    got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(frame(rows)).collect()}
     assert got == {i: [0] for i, _ in rows if i >= 100}
-
-
-def test_simhash_lanes(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.createDataFrame([([f"w{i * k}" for i in range(k)],) for k in (1, 2, 7, 255, 256, 400)], "words array<string>")
-    for r in rows.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.expr(line_dedup.simhash("words")).alias("s"), *[F.expr(line_dedup._simhash("words", b)).alias(f"s{b}") for b in (21, 63)]).collect():
-        want = sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
-        assert r.s == r.s21 == r.s63 == want
