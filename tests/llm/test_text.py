@@ -115,16 +115,33 @@ def naive_backoff(docs, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("block_bytes,shard_ngrams", [(1 << 24, 1 << 22), (300, 40)])
-def test_backoff(frame, block_bytes, shard_ngrams):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 300, "shard_ngrams": 40}, {"block_bytes": 300, "shard_ngrams": 40, "cell": 25, "fan": 4}])
+def test_backoff(frame, sizes):
     rng = np.random.default_rng(0)
     texts = [" ".join(f"w{min(int(x), 30)}" for x in rng.zipf(1.4, rng.integers(1, 60))) for _ in range(60)] + [None, "", " ", "alone", "w1 w1 w1"]
-    got = {r.doc_id: r for r in backoff_lm.backoff_scores(frame(list(enumerate(texts))), block_bytes=block_bytes, shard_ngrams=shard_ngrams).collect()}
+    got = {r.doc_id: r for r in backoff_lm.backoff_scores(frame(list(enumerate(texts))), **sizes).collect()}
     for i, (n, s) in enumerate(naive_backoff(texts)):
         assert got[i].n_words == n == sum(got[i].n_by_order) and abs(got[i].log_score - s) < 1e-6
     assert backoff_lm.backoff_scores(frame([])).collect() == [] and len(backoff_lm.backoff_scores(frame(AWKWARD)).collect()) == len(AWKWARD)
 
 
+def test_backoff_rows_grow_as_the_input(frame):
+    """Rows sent to shards: a row for every few n-grams at any size, not blocks times shards."""
+    rng = np.random.default_rng(5)
+    counts = []
+    for n in (60, 240):
+        docs = frame([(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 60))) for i in range(n)])
+        size = sum(len(r.text) for r in docs.collect())
+        blocks, shards, wanted = backoff_lm.shard_plan(size, 3, 6000, 500, 40)
+        runs = backoff_lm.packed_runs(docs, "doc_id", "text", 400).withColumn("block", F.pmod(F.xxhash64("texts"), F.lit(blocks)).cast("long"))
+        counts.append(backoff_lm.sent_rows(runs, 3, shards).count())
+        assert shards <= 25 and wanted > shards
+    assert counts[1] < 5 * counts[0]
+    for text in (10**9, 10**12, 10**14):
+        blocks, shards, wanted = backoff_lm.shard_plan(text, 3, backoff_lm.BLOCK_BYTES, backoff_lm.SHARD_NGRAMS, backoff_lm.CELL)
+        assert blocks * shards * 3 <= text / 500 and wanted <= shards * backoff_lm.FAN**3
+
+
 def test_packing():
     for x in (np.array([], np.uint64), np.array([0, 0], np.uint64), np.array([5, 1 << 40, (1 << 64) - 1], np.uint64)):
         assert backoff_lm.unpack(backoff_lm.pack(x), len(x)).tolist() == x.tolist()
