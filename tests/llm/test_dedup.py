@@ -216,18 +216,20 @@ def test_lines_against_brute_force(spark, documents, monkeypatch, small, block):
     assert sum(of[names[a]] == of[names[b]] for a, b in pairs) >= 0.95 * len(pairs)
 
 
-def test_upper_bound(spark):
+def test_edit_cost(spark):
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(3)
-    rows = [("", ""), ("a", ""), ("a b", "a c b"), ("x y z", "x y z")]
+    rows = [("a", "b"), ("a", "a b c"), ("a b", "a c b"), ("x y z", "x y z")]
     for _ in range(200):
         words = [f"w{k}" * int(rng.integers(1, 3)) for k in rng.integers(0, 30, rng.integers(1, 25))]
         other = [w if rng.random() > 0.1 else f"v{rng.integers(9)}" for w in words]
         at = int(rng.integers(0, len(words) + 1))
         rows.append((" ".join(words), " ".join(other[:at] + ["new"] * int(rng.integers(0, 3)) + other[at:])))
-    got = spark.createDataFrame(rows, "x string, y string").select(F.expr(line_dedup.upper_bound("x", "y")).alias("u"), F.levenshtein("x", "y").alias("d")).collect()
-    assert all(r.u >= r.d for r in got) and sum(r.u <= 2 * r.d + 6 for r in got) > 150 and got[3].u == 0
+    pairs = spark.createDataFrame(rows, "x string, y string").withColumn("most", F.lit(1000))
+    got = line_dedup.edit_cost(pairs).withColumn("d", F.levenshtein("x", "y")).collect()
+    assert all(r.cost >= r.d for r in got) and sum(r.cost == r.d for r in got) > 0.8 * len(got) and got[3].cost == 0
+    assert all(r.cost == line_cost or r.cost > 3 and line_cost > 3 for r, line_cost in zip(line_dedup.edit_cost(pairs.withColumn("most", F.lit(3))).collect(), [r.cost for r in got]))
 
 
 @pytest.mark.parametrize("words", [6, 10, 15, 25, 50])
@@ -246,8 +248,8 @@ def test_one_character(frame, words):
 def test_long_and_unspaced_lines(frame):
     rng = np.random.default_rng(8)
     han = lambda n: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, n))
-    a, b, long = han(30), han(300), " ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 9000))
-    rows = [(1, a), (2, a[:10] + "x" + a[11:]), (3, b), (4, b[:100] + b[103:]), (5, long), (6, long[:50_000] + " more words " + long[50_000:]), (7, "x " * 40_000), (8, "x " * 39_000)]
+    a, b, long = han(30), han(300), " ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 4000))
+    rows = [(1, a), (2, a[:10] + "x" + a[11:]), (3, b), (4, b[:100] + b[103:]), (5, long), (6, long[:20_000] + " more words " + long[20_000:]), (7, "x " * 4_000), (8, "x " * 3_900)]
     assert {r.doc_id for r in line_dedup.dropped_lines(frame(rows)).collect()} == {2, 4, 6, 8}
 
 
