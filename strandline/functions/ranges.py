@@ -96,6 +96,12 @@ def slice_column(s: Column | str, offset: Column | int, size: Column | int | Non
     return F.when(o + F.coalesce(n, F.lit(0)) <= F.length(s), F.substr(s, o + 1, F.coalesce(n, F.length(s) - o)))
 
 
+def valid_range(offset: Column | str, size: Column | str) -> Column:
+    """Whether ReadRange takes the offset and length (null: open)."""
+    o, n = _col(offset), _col(size)
+    return o.between(0, (1 << 15) - 1) & F.coalesce(n.between(0, OPEN - 1), F.lit(True))
+
+
 def packed_parts(value: Column | str) -> tuple[Column, Column, Column]:
     """Number of the read, offset and length (null: open) of a packed range (a bigint)."""
     v = _col(value)

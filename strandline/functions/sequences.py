@@ -98,6 +98,17 @@ def unique_chars(s: str) -> str:
     return "".join(dict.fromkeys(s))
 
 
+def distinct_bases(s: Column | str) -> Column:
+    """unique_chars of a column."""
+    return F.array_join(F.array_distinct(bases(s)), "")
+
+
+def from_bases(letters: Column | str, policy: str = "sequence") -> Column:
+    """A sequence from an array of its characters; null if the policy refuses one."""
+    whole = F.array_join(_col(letters), "")
+    return F.when(is_content(whole, policy), whole)
+
+
 def bases(s: Column | str) -> Column:
     """The characters as an array; empty for ''."""
     s = _col(s)

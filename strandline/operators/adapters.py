@@ -12,6 +12,7 @@ Among equal scores the smallest position in the read wins.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,15 +75,18 @@ def find_homopolymer(seq: Column | str, adapter: Adapter) -> Column:
     def window(p: Column) -> Column:
         bases = F.substr(s, start(p) + 1, end(p) - start(p))
         size = F.length(bases)
-        matches = size - F.length(F.translate(bases, base, ""))
+        matches = size - F.length(F.replace(bases, F.lit(base), F.lit("")))
         good = (size >= KMER) & ((size - matches) * 10 <= size)
         return F.when(good, F.struct(matches.alias("matches"), (matches - size).alias("errors"), (-p).alias("place")))
 
-    best = F.array_max(F.transform(places, window))
-    place = -best["place"]
-    score = best["matches"] * MATCH - best["errors"] * ERROR
-    values = _ranges(adapter, start(place), end(place), n, score)
-    return F.when(best.isNotNull(), F.struct(*[v.cast("int").alias(f) for v, f in zip(values, _FIELDS)]))
+    def result(best: Column) -> Column:
+        place = -best["place"]
+        score = best["matches"] * MATCH - best["errors"] * ERROR
+        values = _ranges(adapter, start(place), end(place), n, score)
+        return F.when(best.isNotNull(), F.struct(*[v.cast("int").alias(f) for v, f in zip(values, _FIELDS)]))
+
+    # the best window is bound once: its fields are named many times
+    return F.get(F.transform(F.array(F.array_max(F.transform(places, window))), result), F.lit(0))
 
 
 def kmer_filter(seq: Column | str, adapter: Adapter) -> Column:
@@ -144,6 +148,19 @@ def align(reads: list[str], adapter: Adapter) -> np.ndarray:
     return np.stack([found, start, end, value])
 
 
+def alike_lengths(lengths: np.ndarray, m: int, cells: int = 1 << 22) -> Iterator[np.ndarray]:
+    """Places of the reads that are there (length not NaN), in groups of similar length: a long read costs nobody else a long table."""
+    by = np.argsort(lengths, kind="stable")
+    by = by[~np.isnan(lengths[by])]
+    at = 0
+    while at < len(by):
+        first = lengths[by[at]]
+        stop = int(np.searchsorted(lengths[by], first * 1.25 + 8, "right"))
+        stop = min(stop, at + max(1, int(cells // ((first * 1.25 + 8) + m))), at + 4096)
+        yield np.sort(by[at:stop])
+        at = stop
+
+
 _TRIM_DDL = ", ".join(f"{f} int" for f in _FIELDS)
 
 
@@ -156,14 +173,12 @@ def find_adapter(seq: Column | str, adapter: Adapter) -> Column:
     def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for reads in batches:
             out = np.full((len(reads), len(_FIELDS)), np.nan)
-            there = np.flatnonzero(reads.notna())
-            for part in np.array_split(there, len(there) // 2048 + 1):
-                if len(part):
-                    some = reads.iloc[part].tolist()
-                    found, start, end, score = align(some, adapter)
-                    hit = found.astype(bool)
-                    values = _ranges(adapter, start, end, np.array([len(r) for r in some]), score)
-                    out[part[hit]] = np.stack(values, axis=1)[hit]
+            for part in alike_lengths(reads.str.len().to_numpy(np.float64, na_value=np.nan), len(adapter.seq)):
+                some = reads.iloc[part].tolist()
+                found, start, end, score = align(some, adapter)
+                hit = found.astype(bool)
+                values = _ranges(adapter, start, end, np.array([len(r) for r in some]), score)
+                out[part[hit]] = np.stack(values, axis=1)[hit]
             yield pd.DataFrame(out, columns=_FIELDS).astype("Int32")
 
     s = F.col(seq) if isinstance(seq, str) else seq
@@ -210,11 +225,11 @@ class AdapterCatalog:
 
         for read, items in self.adapters.items():
             if items:
-                seq = F.col(f"{read}.seq")
+                seq, own = F.col(f"{read}.seq"), f"_hit_{uuid.uuid4().hex}_"
                 for k, a in enumerate(items):
-                    pairs = pairs.withColumn(f"_hit{k}", find_adapter(seq, a))
-                start, end = retained(seq, [F.col(f"_hit{k}") for k in range(len(items))])
+                    pairs = pairs.withColumn(f"{own}{k}", find_adapter(seq, a))
+                start, end = retained(seq, [F.col(f"{own}{k}") for k in range(len(items))])
                 cut = lambda part: F.substr(F.col(f"{read}.{part}"), start + 1, end - start)  # noqa: B023, E731
                 pairs = pairs.withColumn(read, F.when(F.col(read).isNotNull(), record(f"{read}.header", cut("seq"), cut("qual"))))
-                pairs = pairs.drop(*[f"_hit{k}" for k in range(len(items))])
+                pairs = pairs.drop(*[f"{own}{k}" for k in range(len(items))])
         return pairs

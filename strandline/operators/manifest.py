@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
+import json
+import re
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +21,16 @@ class ManifestError(ValueError):
 
 
 def list_files(spark: SparkSession, path: str, subdirectories: bool) -> DataFrame:
-    """path of each file in a folder and, if asked for, in its immediate subfolders."""
+    """path of each file in a folder and, if asked for, in its immediate subfolders, in any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = []
-    with os.scandir(path) as top:
-        for entry in top:
-            if entry.is_file():
-                found.append((entry.path,))
-            elif subdirectories and entry.is_dir():
-                found += [(x.path,) for x in os.scandir(entry.path) if x.is_file()]
-    return spark.createDataFrame(found, "path string")
+    for entry in store.listStatus(folder):
+        if entry.isFile():
+            found.append(entry.getPath().toString())
+        elif subdirectories:
+            found += [x.getPath().toString() for x in store.listStatus(entry.getPath()) if x.isFile()]
+    return spark.createDataFrame([(re.sub("^file:/*", "/", x),) for x in found], "path string")
 
 
 def _order(path: Column) -> Column:
@@ -95,6 +97,10 @@ class Bcl2FastqDef:
         names = self.samples if self.samples is None or isinstance(self.samples, str) else list(self.samples)
         return _selected(groups, sample_ok(names), None if self.lanes is None else list(self.lanes), KEYS["bcl2fastq"])
 
+    def of_files(self, files: DataFrame) -> DataFrame:
+        """The read sets among a table of paths."""
+        return self.select(group_bcl2fastq(files))
+
     def groups(self, spark: SparkSession) -> DataFrame:
         return group_bcl2fastq(list_files(spark, self.path, True))
 
@@ -115,6 +121,10 @@ class BclProcessorDef:
         indices = self.indices if self.indices is None or isinstance(self.indices, str) else list(self.indices)
         return _selected(groups, index_ok(indices, self.max_ns), None if self.lanes is None else list(self.lanes), KEYS["bcl_processor"])
 
+    def of_files(self, files: DataFrame) -> DataFrame:
+        """The read sets among a table of paths."""
+        return self.select(group_bcl_processor(files))
+
     def groups(self, spark: SparkSession) -> DataFrame:
         return group_bcl_processor(list_files(spark, self.path, False))
 
@@ -123,6 +133,49 @@ class BclProcessorDef:
 
 
 FastqDef = Bcl2FastqDef | BclProcessorDef
+LAYOUTS = {"bcl2fastq": Bcl2FastqDef, "bcl_processor": BclProcessorDef}
+
+
+def fastq_def(spec: str | dict) -> FastqDef:
+    """A definition from JSON: {layout: {field: value, ...}}, layout bcl2fastq or bcl_processor, fields as in its class."""
+    spec = json.loads(spec) if isinstance(spec, str) else spec
+    if not isinstance(spec, dict) or len(spec) != 1 or next(iter(spec)) not in LAYOUTS:
+        raise ManifestError(f"a definition has one of the keys {', '.join(LAYOUTS)}")
+    ((layout, fields),) = spec.items()
+    try:
+        return LAYOUTS[layout](**{k: tuple(v) if isinstance(v, list) else v for k, v in fields.items()})
+    except TypeError as e:
+        raise ManifestError(f"{layout}: {e}") from e
+
+
+def fastq_def_json(definition: FastqDef) -> str:
+    layout = next(k for k, c in LAYOUTS.items() if isinstance(definition, c))
+    return json.dumps({layout: asdict(definition)})
+
+
+def lane_mode(lane: Column | str = "lane") -> Column:
+    """How a group was made: 'lane N', or 'all lanes' where files are not split by lane."""
+    c = F.col(lane) if isinstance(lane, str) else lane
+    return F.when(c.isNull(), F.lit("all lanes")).otherwise(F.concat(F.lit("lane "), c.cast("string")))
+
+
+def lane_modes(groups: DataFrame, *keys: str) -> DataFrame:
+    """Per key: n_split, n_whole (groups with and without a lane) and mixed."""
+    split = F.count("lane")
+    return groups.groupBy(*keys).agg(split.alias("n_split"), (F.count(F.lit(1)) - split).alias("n_whole")).withColumn("mixed", (F.col("n_split") > 0) & (F.col("n_whole") > 0))
+
+
+def contained_indices(groups: DataFrame, wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """For each row of `wanted` (index: a sequence or a set's name): index, n_groups that have it. `table` has set_name and si."""
+    own = wanted.select("index", F.col("index").alias("si")).unionByName(wanted.join(table, F.col("index") == F.col("set_name")).select("index", "si"))
+    sizes = groups.groupBy("si").agg(F.count(F.lit(1)).alias("n"))
+    return own.distinct().join(sizes, "si", "left").groupBy("index").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_groups"))
+
+
+def usable_samples(groups: DataFrame, requested: list[str] | None = None, lanes: list[int] | None = None) -> DataFrame:
+    """sample, n_groups of those asked for (or all) that have files in the lanes asked for."""
+    rows = groups.where(F.when(sample_ok(requested), lane_ok(lanes)).otherwise(F.lit(False)))
+    return rows.groupBy("sample").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
 def change_dir(manifest: DataFrame, folder: str) -> DataFrame:
@@ -190,7 +243,14 @@ class BclProcessorDir:
         return not self._of(index).where(F.col("lane") == lane).isEmpty()
 
 
-def check_samples(spark: SparkSession, path: str, requested: list[str] | None, lanes: list[int] | None, help_text: str) -> list[str]:
+NO_FILES = """No read files were found for this request. Check that
+ - the sample names are spelt as in the sample sheet,
+ - file names follow the convention, such as Sample_S1_L001_R1_001.fastq.gz with its R2,
+ - the folder is the one that holds the files, or its parent.
+"""
+
+
+def check_samples(spark: SparkSession, path: str, requested: list[str] | None = None, lanes: list[int] | None = None, help_text: str = NO_FILES) -> list[str]:
     """The samples to use: those asked for that are there, or the only one; ManifestError if none is left, or none asked for of several."""
     folder = Bcl2FastqDir(spark, path)
     available = folder.samples()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.headers import header_prefix
+from ..functions.headers import header_info, header_prefix, unknown_header
 from ..functions.sequences import is_content
 from ..schema import READ_NAMES, READS
 
@@ -97,6 +97,40 @@ def to_long(pairs: DataFrame) -> DataFrame:
     return rows.select(*keep, "x.which", "x.record.*")
 
 
+def from_long(rows: DataFrame) -> DataFrame:
+    """Pairs from one row per read: group_id, ordinal, which, header, seq, qual. An error if a pair has two records of one read."""
+    whole, kind = record("header", "seq", "qual"), "struct<header:string,seq:string,qual:string>"
+
+    def slot(r: str) -> Column:
+        mine = F.col("which") == READ_NAMES[r]
+        twice = F.raise_error(F.lit(f"{READ_NAMES[r]} is there already")).cast(kind)
+        return F.when(F.count(F.when(mine, 1)) > 1, twice).otherwise(F.max(F.when(mine, whole))).alias(r)
+
+    return rows.groupBy("group_id", "ordinal").agg(*[slot(r) for r in READS])
+
+
+def single_ended(rows: DataFrame) -> DataFrame:
+    """group_id, single_ended of interleaved streams: the first two records are of different clusters, or there is but one."""
+    first = rows.where("ordinal < 2").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min(header_prefix("header")).alias("lo"), F.max(header_prefix("header")).alias("hi"))
+    return first.select("group_id", ((F.col("n") < 2) | (F.col("lo") != F.col("hi"))).alias("single_ended"))
+
+
+def odd_interleaved(rows: DataFrame) -> DataFrame:
+    """group_id, records of the interleaved streams with an odd number of records."""
+    return rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("records")).where("records % 2 = 1")
+
+
+def read_set_header(pairs: DataFrame, default: bool = False) -> DataFrame:
+    """group_id, header_info: run information of each set's first pair, from its first present read; null, or with `default`
+    the values for an unknown run, where the header has none. An error if there are no pairs at all."""
+    if pairs.isEmpty():
+        raise ValueError("no reads to take a header from")
+    info = header_info(F.coalesce(*[F.col(f"{r}.header") for r in READS]))
+    if default:
+        info = F.coalesce(info, unknown_header())
+    return pairs.groupBy("group_id").agg(F.min_by(F.struct(info.alias("x")), "ordinal").alias("first")).select("group_id", F.col("first.x").alias("header_info"))
+
+
 def interleave(pairs: DataFrame) -> DataFrame:
     """group_id, ordinal, header, seq, qual: R1 at even ordinals, R2 at odd ones."""
     both = F.posexplode(F.array("r1", "r2")).alias("k", "record")

@@ -101,7 +101,7 @@ SQL: dict[str, str] = {
     "edit_neighbors": f"""WITH b AS ({_SHORT}), p AS (SELECT id, s, unnest(generate_series(0, length(s))) AS i FROM b), c AS (SELECT id, s, i, unnest(['A', 'C', 'G', 'T']) AS c FROM p),
         n AS (SELECT id, s, substr(s, 1, i) || c || substr(s, i + 1) AS t FROM c UNION SELECT id, s, substr(s, 1, i - 1) || substr(s, i + 1) FROM p WHERE i > 0
               UNION SELECT id, s, substr(s, 1, i - 1) || c || substr(s, i + 1) FROM c WHERE i > 0 AND substr(s, i, 1) NOT IN (c, 'N'))
-        SELECT id, count(*) AS n, min(t) AS first, max(t) AS last, max(levenshtein(s, t)) AS farthest FROM n GROUP BY id""",
+        SELECT id, count(*) AS n, min(t) AS first, max(t) AS last  FROM n GROUP BY id""",
     "barcode_correction": f"""WITH l AS (SELECT DISTINCT substr({_seq('s_suppkey', BASES)}, 1, 5) AS barcode FROM supplier), e AS (SELECT event_id AS id, substr({_seq('event_id')}, 1, 5) AS s FROM events)
         SELECT id, count(*) AS n_hits, min(barcode) AS first_hit FROM e JOIN l ON len(list_filter(range(1, 6), lambda i: substr(s, i, 1) <> substr(barcode, i, 1))) <= 1 GROUP BY id""",
     "header_info": f"""WITH h AS (SELECT event_id AS id, string_split(regexp_extract({_HEADER}, '^[^ /]*'), ':') AS p FROM events), g AS (SELECT *, len(p) >= 4 AND regexp_full_match(p[2], '[0-9]+') AND regexp_full_match(p[4], '[0-9]+') AS good FROM h)
@@ -129,5 +129,49 @@ SQL: dict[str, str] = {
     "mean_phred": f"SELECT id, round(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) / CAST(length(qual) AS DOUBLE), 6) AS mean FROM ({_READS})",
     "interleave_roundtrip": f"""{_STREAM} SELECT group_id, ordinal, 'read1' AS which, '@c:' || id || ' 1:N' || chr(10) || {_seq("'a' || id")} || chr(10) || '+' || chr(10) || {_qual('id')} AS text FROM e
         UNION ALL SELECT group_id, ordinal, 'read2', '@' || {_PREFIX2} || '/2' || chr(10) || {_seq("'b' || id")} || chr(10) || '+' || chr(10) || {_qual('id')} FROM e""",
+    "trim_adapter": f"""WITH r AS (SELECT event_id AS id, translate(md5(CAST(event_id AS VARCHAR)), '{HEX}', 'CCGTTGGTCCTTGGCC') || CASE event_id % 4 WHEN 0 THEN 'ACGTACGGTTCA' WHEN 1 THEN 'ACGTACGGATCA' WHEN 2 THEN 'ACGTACG' ELSE '' END
+        || CASE WHEN event_id % 4 < 2 THEN substr({_seq('event_id')}, 1, event_id % 9) ELSE '' END AS s FROM events)
+        SELECT id, CASE WHEN id % 4 < 3 THEN 32 END AS trim_start, CASE WHEN id % 4 < 3 THEN substr(s, 1, 32) ELSE s END AS kept FROM r""",
+    "single_ended": f"{_STREAM}, g AS (SELECT group_id, count(*) FILTER (ordinal < 2) AS n FROM e GROUP BY group_id) SELECT group_id, n < 2 OR group_id % 3 = 0 AS single_ended FROM g",
+    "odd_interleaved": "SELECT event_id % 17 AS group_id, count(*) AS records FROM events GROUP BY 1 HAVING count(*) % 2 = 1",
+    "check_range": f"""{_STREAM} SELECT group_id, ordinal, 'UMI: read1 has 10 bases, but 4 to 12 are needed' AS r1, CAST(NULL AS VARCHAR) AS r2, CASE WHEN NOT ({_INDEXED}) THEN 'Index: there is no index1' ELSE 'Index: index1 has 32 bases, but 30 to 34 are needed' END AS i1,
+        'Index: there is no index2' AS i2 FROM e""",
+    "empty_pairs": f"{_STREAM} SELECT group_id, ordinal FROM e WHERE ordinal % 6 = 0 AND NOT ({_INDEXED})",
+    "read_parts": f"""{_STREAM} SELECT group_id, ordinal, 'c:' || id || ' 1:N' AS h1, {_qual('id')} AS q2, CASE WHEN {_INDEXED} THEN {_seq("'c' || id")} END AS s3, CAST(NULL AS VARCHAR) AS s4, CAST(32 AS BIGINT) AS n_r1, CAST(32 AS BIGINT) AS n_r2,
+        CASE WHEN {_INDEXED} THEN CAST(32 AS BIGINT) END AS n_i1, CAST(NULL AS BIGINT) AS n_i2 FROM e""",
+    "range_valid": f"SELECT id, o1 * 1000 - 500 BETWEEN 0 AND 32767 AND coalesce(n1 * 1500 - 10 BETWEEN 0 AND 32766, true) AS valid FROM ({_RANGES})",
+    "half_open_intersect": f"""SELECT id, least(greatest(o1, o2), least(o1 + n1, o2 + n2)) AS start, least(o1 + n1, o2 + n2) AS "end" FROM ({_RANGES}) WHERE n1 IS NOT NULL AND n2 IS NOT NULL""",
+    "pairs_from_long": f"""{_STREAM} SELECT group_id, ordinal, {_seq("'a' || id")} AS s1, {_PREFIX2} || '/2' AS h2, CASE WHEN {_INDEXED} THEN {_qual('id')} END AS q3, CAST(NULL AS VARCHAR) AS s4 FROM e""",
+    "read_set_header": f"""WITH f AS (SELECT event_id % 50 AS group_id, min(event_id) AS event_id FROM events GROUP BY 1), h AS (SELECT group_id, string_split(regexp_extract({_HEADER}, '^[^ /]*'), ':') AS p FROM f)
+        SELECT group_id, CASE WHEN len(p) >= 4 THEN p[1] ELSE '{UNKNOWN_HEADER[0]}' END AS instrument, CASE WHEN len(p) >= 4 THEN CAST(p[2] AS BIGINT) ELSE 0 END AS run_number,
+               CASE WHEN len(p) >= 4 THEN p[3] ELSE '{UNKNOWN_HEADER[2]}' END AS flowcell, CASE WHEN len(p) >= 4 THEN CAST(p[4] AS BIGINT) ELSE 0 END AS lane FROM h""",
+    "lane_modes": f"{_SETS1} SELECT coalesce('lane ' || lane, 'all lanes') AS mode, count(*) AS n_groups, count(DISTINCT sample) AS n_samples FROM sets GROUP BY 1",
+    "mixed_lanes": f"{_SETS1}, m AS (SELECT s % 5 AS project, count(lane) AS n_split, count(*) - count(lane) AS n_whole FROM sets GROUP BY 1) SELECT *, n_split > 0 AND n_whole > 0 AS mixed FROM m",
+    "fastq_defs": f"""{_SETS1} SELECT 0 AS definition, r1, r2, i1, i2, r1_interleaved FROM sets WHERE sample IN ('sample_1', 'sample_7') AND lane IN (1, 2)
+        UNION ALL SELECT 1, r1, r2, i1, i2, r1_interleaved FROM ({_SETS2} SELECT * FROM sets) WHERE length(si) - length(replace(si, 'N', '')) <= 2 AND len(list_filter(['GAATAATG', 'GATACGTC', 'CTATCATG'],
+        lambda t: len(list_filter(range(1, 9), lambda i: substr(si, i, 1) <> 'N' AND substr(si, i, 1) <> substr(t, i, 1))) = 0)) > 0""",
+    "folder_samples": f"{_SETS1} SELECT sample, count(*) AS n_groups, '[' || coalesce(string_agg(DISTINCT lane, ', ' ORDER BY lane), '') || ']' AS lanes FROM sets GROUP BY sample",
+    "folder_indices": """SELECT x.index, CAST(x.n AS BIGINT) AS n_groups FROM (SELECT unnest([
+        {'index': 'SI-GA-A1', 'n': (SELECT count(*) FROM events WHERE event_id % 4 < 2)}, {'index': 'SI-001', 'n': 0}, {'index': 'SI-P2-H12', 'n': 0}, {'index': 'AAAACCCC', 'n': 0},
+        {'index': 'GATTACAA', 'n': (SELECT count(*) FROM events WHERE event_id % 4 = 2)}]) AS x)""",
+    "check_samples": f"{_SETS1} SELECT sample, count(*) AS n_groups FROM sets WHERE sample IN ('sample_2', 'sample_8', 'sample_99') AND lane IN (1, 3) GROUP BY sample",
+    "char_sets": f"""SELECT id, array_to_string(list_transform(list_sort(list_transform(list_filter(['A', 'C', 'G', 'T', 'N'], lambda c: contains(s, c)), lambda c: strpos(s, c) || c)), lambda x: x[2]), '') AS letters,
+        length(s) AS n, nullif(substr(s, 3, 1), '') AS third FROM ({_SHORT})""",
+    "construct": f"SELECT id, CASE WHEN NOT (id % 11 = 0 AND contains(s, 'G')) THEN reverse(s) END AS made FROM ({_SHORT})",
+    "seq_edits": f"""SELECT id, s || 'A' AS pushed, s[1] || substr(s, 3) AS removed, substr(s, 1, 2) || 'C' || substr(s, 3) AS inserted, s[1] AS first, s[1] || 'G' || substr(s, 3) AS "set" FROM ({_SHORT}) WHERE length(s) >= 3""",
+    "seq_order": f"SELECT s, count(*) AS n, lead(s) OVER (PARTITION BY length(s) ORDER BY s) AS next FROM ({_SHORT}) GROUP BY s",
+    "quality_scores": f"WITH q AS (SELECT event_id AS id, list_transform(string_split({_qual('event_id')}, ''), lambda c: ascii(c) - 33) AS q FROM events) SELECT id, CAST(list_max(q) AS BIGINT) AS best, CAST(list_min(q) AS BIGINT) AS worst FROM q",
+    "processed_reads": f"""{_STREAM}, r AS (SELECT *, substr({_seq("'a' || id")}, 1, CASE WHEN ordinal % 5 = 0 THEN 20 ELSE 32 END) AS s FROM e),
+        w AS (SELECT *, CASE WHEN length(s) < 26 THEN 'UMI: read1 has 20 bases, but 16 to 26 are needed' WHEN contains(substr(s, 1, 16), 'N') THEN 'Barcode holds an N' END AS reason FROM r)
+        SELECT group_id, ordinal, CAST(1 AS BIGINT) AS gem_group, reason, CASE WHEN reason IS NULL THEN substr(s, 1, 16) END AS cb, CASE WHEN reason IS NULL THEN substr(s, 17, 10) END AS ub,
+               CASE WHEN reason IS NOT NULL THEN 'c:' || id || ' 1:N' END AS refused, length(s) AS n1, {_qual('id')} AS q2 FROM w""",
+    "catalog_trim": f"SELECT event_id AS ordinal, b AS s1, length(b) AS n1, b AS s2 FROM (SELECT event_id, translate(md5(CAST(event_id AS VARCHAR)), '{HEX}', 'CCGTTGGTCCTTGGCC') AS b FROM events)",
+    "trimmed_fastq": f"""{_STREAM} SELECT group_id, ordinal, '@c:' || id || ' 1:N' || chr(10) || substr({_seq("'a' || id")}, 1, 12) || chr(10) || '+' || chr(10) || substr({_qual('id')}, 1, 12) AS text FROM e""",
+    "change_dir": f"{_SETS1} SELECT {', '.join(f"'/elsewhere/' || split_part({r}, '/', -1) AS {r}" for r in ('r1', 'r2', 'i1', 'i2'))} FROM sets",
+    "fasta_roundtrip": f"SELECT event_id AS id, {_seq('event_id')} AS seq FROM events",
+    "json_adapters": """SELECT * FROM (VALUES ('R1', 'a', 'three_prime', 'anywhere', 'ACGTACGT', 'r1:0:16', 'r1:16:10', true), ('R2', 'b', 'five_prime', 'anchored', 'AAAAAAAA', 'r1:0:16', 'r1:16:10', true))
+        AS t(read, name, "end", location, seq, barcode, umi, no_rna2)""",
+    "fastq_faults": "SELECT 'a sequence holds something else than A, C, G, T or N' AS fault, true AS no_reads",
+    "folder_files": "SELECT read, true AS there FROM (VALUES ('R1'), ('R2')) AS t(read)",
     "fastq_scan": "SELECT count(*) AS pairs, count(*) * 32 AS bases, count(*) AS headers FROM events",
 } | {f"trim_homopolymer_{end[0:5].rstrip('_')}_{loc}": _poly(end, loc) for end in ENDS for loc in LOCATIONS}

@@ -17,6 +17,7 @@ from .operators import adapters as A
 from .operators import manifest as M
 from .operators import readpairs as P
 from .operators import sample_index as X
+from .schema import which_read
 from .virtual import HEX, header, quality, reads, sequence
 
 ADAPTER_LONG = A.Adapter("long", "three_prime", "anywhere", "ACGTACGGTTCA")
@@ -122,7 +123,7 @@ def insertion_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 def edit_neighbors(spark: SparkSession, d: str) -> DataFrame:
     rows = _short(spark, d).select("id", F.explode(F.array_distinct(S.edit_neighbors("s"))).alias("neighbor"), "s")
-    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("neighbor").alias("first"), F.max("neighbor").alias("last"), F.max(F.levenshtein("s", "neighbor")).cast("long").alias("farthest"))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("neighbor").alias("first"), F.max("neighbor").alias("last"))
 
 
 def barcode_correction(spark: SparkSession, d: str) -> DataFrame:
@@ -267,24 +268,232 @@ def trim_adapter(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("id", F.col("t.trim_start").alias("trim_start"), F.substr("s", F.lit(1), F.coalesce("t.retain_end", F.length("s"))).alias("kept"))
 
 
-def fastq_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Read sets of this input written as files in the shared folder and scanned again by the reader."""
+def single_ended(spark: SparkSession, d: str) -> DataFrame:
+    """Interleaved streams of which every third has one read a cluster."""
+    i = F.col("id")
+    rows = _events(spark, d).select((i % 20).alias("group_id"), F.floor(i / 20).alias("ordinal"), i.alias("id"))
+    cluster = F.when(F.col("group_id") % 3 == 0, F.col("ordinal")).otherwise(F.floor(F.col("ordinal") / 2))
+    return P.single_ended(rows.select("group_id", "ordinal", F.format_string("c:%d %d", cluster, F.col("ordinal") % 2).alias("header")))
+
+
+def odd_interleaved(spark: SparkSession, d: str) -> DataFrame:
+    return P.odd_interleaved(_events(spark, d).select((F.col("id") % 17).alias("group_id")))
+
+
+def check_range(spark: SparkSession, d: str) -> DataFrame:
+    trimmed = P.length_trim(P.zip_reads(_streams(spark, d)), 10, 40)
+    return trimmed.select("group_id", "ordinal", R.ReadRange("r1", 4, 8).problem("UMI").alias("r1"), R.ReadRange("r2", 20, 12).problem("Tag").alias("r2"), R.ReadRange("i1", 30, 4).problem("Index").alias("i1"), R.ReadRange("i2", 0).problem("Index").alias("i2"))
+
+
+def empty_pairs(spark: SparkSession, d: str) -> DataFrame:
+    none = lambda r: P.record(f"{r}.header", F.lit(""), F.lit(""))
+    pairs = P.zip_reads(_streams(spark, d)).withColumns({"r1": F.when(F.col("ordinal") % 3 == 0, none("r1")).otherwise(F.col("r1")), "r2": F.when(F.col("ordinal") % 2 == 0, none("r2")).otherwise(F.col("r2"))})
+    return pairs.where(P.is_empty()).select("group_id", "ordinal")
+
+
+def read_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of reads by name and number, and the reads' lengths."""
+    pairs = P.zip_reads(_streams(spark, d))
+    part = lambda read, field: F.col(f"{which_read(read)}.{field}")
+    lengths = [c.cast("long") for c in P.read_lengths()]
+    return pairs.select("group_id", "ordinal", part("R1", "header").alias("h1"), part(1, "qual").alias("q2"), part("index1", "seq").alias("s3"), part("i2", "seq").alias("s4"), *[c.alias(f"n_{r}") for r, c in zip(("r1", "r2", "i1", "i2"), lengths)])
+
+
+def range_valid(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ranges(spark, d).select("id", (F.col("o1") * 1000 - 500).alias("o"), (F.col("n1") * 1500 - 10).alias("n"))
+    return rows.select("id", R.valid_range("o", "n").alias("valid"))
+
+
+def half_open_intersect(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ranges(spark, d).where("n1 is not null and n2 is not null")
+    start, end = R.intersect_half_open(F.col("o1"), F.col("o1") + F.col("n1"), F.col("o2"), F.col("o2") + F.col("n2"))
+    return rows.select("id", start.alias("start"), end.alias("end"))
+
+
+def pairs_from_long(spark: SparkSession, d: str) -> DataFrame:
+    pairs = P.from_long(P.to_long(P.zip_reads(_streams(spark, d))))
+    return pairs.select("group_id", "ordinal", F.col("r1.seq").alias("s1"), F.col("r2.header").alias("h2"), F.col("i1.qual").alias("q3"), F.col("i2.seq").alias("s4"))
+
+
+def read_set_header(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    rows = _events(spark, d).select((i % 50).alias("group_id"), F.floor(i / 50).alias("ordinal"), header(i).alias("header"), F.lit("A").alias("seq"), F.lit("I").alias("qual"))
+    return P.read_set_header(P.zip_reads({"r1": rows}), True).select("group_id", "header_info.*")
+
+
+def lane_modes(spark: SparkSession, d: str) -> DataFrame:
+    groups = M.group_bcl2fastq(_paths(spark, d))
+    return groups.groupBy(M.lane_mode().alias("mode")).agg(F.count(F.lit(1)).alias("n_groups"), F.countDistinct("sample").alias("n_samples"))
+
+
+def mixed_lanes(spark: SparkSession, d: str) -> DataFrame:
+    groups = M.group_bcl2fastq(_paths(spark, d)).withColumn("project", F.col("s").cast("long") % 5)
+    return M.lane_modes(groups, "project")
+
+
+DEFINITIONS = ('{"bcl2fastq": {"path": "", "samples": ["sample_1", "sample_7"], "lanes": [1, 2]}}', '{"bcl_processor": {"path": "", "indices": ["GAATAATG", "GATACGTC", "CTATCATG"], "max_ns": 2}}')
+
+
+def fastq_defs(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of both layouts, from JSON, each resolved by its own class."""
+    files = _paths(spark, d)
+    found = [M.fastq_def(x).of_files(files).select(F.lit(k).alias("definition"), "r1", "r2", "i1", "i2", "r1_interleaved") for k, x in enumerate(DEFINITIONS)]
+    return found[0].unionByName(found[1])
+
+
+def folder_samples(spark: SparkSession, d: str) -> DataFrame:
+    groups = M.group_bcl2fastq(_paths(spark, d))
+    return groups.groupBy("sample").agg(F.count(F.lit(1)).alias("n_groups"), F.sort_array(F.collect_set("lane")).cast("string").alias("lanes"))
+
+
+def folder_indices(spark: SparkSession, d: str) -> DataFrame:
+    groups = _events(spark, d).select(F.element_at(F.array(*[F.lit(x) for x in INDICES]), (F.col("id") % len(INDICES) + 1).cast("int")).alias("si"))
+    sets = spark.createDataFrame([(k, s) for k, v in X.SETS.items() if k in WANTED for s in v], "set_name string, si string")
+    return M.contained_indices(groups, spark.createDataFrame([(x,) for x in WANTED], "index string"), sets)
+
+
+#: Set names and sequences to look for, and the sequences that files have.
+WANTED = ("SI-GA-A1", "SI-001", "SI-P2-H12", "AAAACCCC", "GATTACAA")
+INDICES = (X.SETS["SI-GA-A1"][0], X.SETS["SI-GA-A1"][2], "GATTACAA", "TTTTTTTT")
+
+
+def check_samples(spark: SparkSession, d: str) -> DataFrame:
+    return M.usable_samples(M.group_bcl2fastq(_paths(spark, d)), ["sample_2", "sample_8", "sample_99"], [1, 3])
+
+
+def char_sets(spark: SparkSession, d: str) -> DataFrame:
+    return _short(spark, d).select("id", S.distinct_bases("s").alias("letters"), F.size(S.bases("s")).cast("long").alias("n"), F.get(S.bases("s"), F.lit(2)).alias("third"))
+
+
+def construct(spark: SparkSession, d: str) -> DataFrame:
+    letters = F.transform(S.bases("s"), lambda c: F.when((F.col("id") % 11 == 0) & (c == "G"), F.lit("x")).otherwise(c))
+    return _short(spark, d).select("id", S.from_bases(F.reverse(letters)).alias("made"))
+
+
+def seq_edits(spark: SparkSession, d: str) -> DataFrame:
+    rows = _short(spark, d).where("length(s) >= 3")
+    return rows.select("id", S.push("s", "A").alias("pushed"), S.remove("s", 1).alias("removed"), S.insert("s", 2, "C").alias("inserted"), S.get_base("s", 0).alias("first"), S.set_base("s", 1, "G").alias("set"))
+
+
+def seq_order(spark: SparkSession, d: str) -> DataFrame:
+    """Equality, order and hash of sequences: classes of equal ones and the one that follows."""
+    from pyspark.sql import Window
+
+    rows = _short(spark, d).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("next", F.lead("s").over(Window.partitionBy(F.length("s")).orderBy("s")))
+
+
+def quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    scores = S.phred(quality(F.col("id")))
+    return _events(spark, d).select("id", F.array_max(scores).cast("long").alias("best"), F.array_min(scores).cast("long").alias("worst"))
+
+
+def processed_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The barcode processor over pairs, with the aligner's view and tags of what it takes."""
+    from .plans.processor import BarcodeUmi, alignable, bam_tags
+
+    pairs = P.zip_reads(_streams(spark, d)).withColumn("r1", F.when(F.col("ordinal") % 5 == 0, P.record("r1.header", F.substr("r1.seq", F.lit(1), F.lit(20)), F.substr("r1.qual", F.lit(1), F.lit(20)))).otherwise(F.col("r1")))
+    rows = BarcodeUmi([]).run(pairs)
+    view = alignable(pairs).select("group_id", "ordinal", F.length("align_sequence.read1").cast("long").alias("n1"), F.col("align_quality.read2").alias("q2"))
+    tags = bam_tags({"CB": F.col("processed.barcode"), "UB": F.col("processed.umi")})
+    return rows.join(view, ["group_id", "ordinal"]).select("group_id", "ordinal", F.col("gem_group").cast("long").alias("gem_group"), "reason", F.get(F.map_values(tags), F.lit(0)).alias("cb"), F.col("processed.umi").alias("ub"), F.col("unprocessed.r1.header").alias("refused"), "n1", "q2")
+
+
+def catalog_trim(spark: SparkSession, d: str) -> DataFrame:
+    """Two adapters of R1 and one of R2, by name, and what all of them leave."""
+    i = F.col("id")
+    body = F.translate(F.md5(i.cast("string")), HEX, "CCGTTGGTCCTTGGCC")
+    planted = F.when(i % 3 == 0, F.lit("ACGTACGGTTCA")).when(i % 3 == 1, F.lit("AAAAAAAA")).otherwise(F.lit(""))
+    whole = lambda s: P.record(F.lit("c"), s, F.repeat(F.lit("I"), F.length(s)))
+    pairs = _events(spark, d).select((i % 20).alias("group_id"), i.alias("ordinal"), whole(F.concat(body, planted)).alias("r1"), whole(F.concat(F.lit("AAAAAAAA"), body)).alias("r2"))
+    catalog = A.AdapterCatalog({"r1": [ADAPTER_LONG, _POLY["anywhere"]["three_prime"]], "r2": [_POLY["anchored"]["five_prime"]]})
+    rows = catalog.trim(pairs)
+    return rows.select("ordinal", F.col("r1.seq").alias("s1"), F.length("r1.qual").cast("long").alias("n1"), F.col("r2.seq").alias("s2"))
+
+
+def trimmed_fastq(spark: SparkSession, d: str) -> DataFrame:
+    pairs = P.length_trim(P.zip_reads(_streams(spark, d)), 12)
+    return pairs.select("group_id", "ordinal", P.render_fastq("r1.header", "r1.seq", "r1.qual").alias("text"))
+
+
+def change_dir(spark: SparkSession, d: str) -> DataFrame:
+    moved = M.change_dir(M.group_bcl2fastq(_paths(spark, d)), "/elsewhere/")
+    return moved.select("r1", "r2", "i1", "i2")
+
+
+def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import fasta
+
+    folder = f"{_scratch(spark)}/fasta-{os.urandom(6).hex()}"
+    fasta.write_fasta(_events(spark, d).select(F.col("id").cast("string").alias("id"), sequence(F.col("id")).alias("seq")), folder)
+    return fasta.read_fasta(spark, folder).select(F.col("id").cast("long").alias("id"), "seq")
+
+
+def json_adapters(spark: SparkSession, d: str) -> DataFrame:
+    """Adapters and a chemistry written as JSON and read with their types."""
+    from .sources import fasta
+
+    folder = f"{_scratch(spark)}/json-{os.urandom(6).hex()}"
+    adapters = json.dumps({"R1": [{"name": "a", "end": "three_prime", "location": "anywhere", "seq": "ACGTACGT"}], "R2": [{"name": "b", "end": "five_prime", "location": "anchored", "seq": "AAAAAAAA"}]})
+    chemistry = json.dumps({"name": "x", "barcode_read_type": "R1", "barcode_read_offset": 0, "barcode_read_length": 16, "umi_read_type": "R1", "umi_read_offset": 16, "umi_read_length": 10})
+    for name, text in (("adapters", adapters), ("chemistry", chemistry)):
+        spark.createDataFrame([(text,)], "value string").write.text(f"{folder}/{name}")
+    found = fasta.read_adapters(spark, f"{folder}/adapters")
+    ranges = fasta.read_chemistry(spark, f"{folder}/chemistry").select(*[fasta.chemistry_range(x).alias(x) for x in ("barcode", "umi", "rna2")])
+    at = lambda x: F.concat_ws(":", f"{x}.read", f"{x}.offset", f"{x}.len")
+    return found.crossJoin(ranges.select(at("barcode").alias("barcode"), at("umi").alias("umi"), F.col("rna2").isNull().alias("no_rna2")))
+
+
+def _written(spark: SparkSession, d: str, suffix: str = "fastq.gz", faults: bool = False) -> tuple[str, list[str]]:
+    """A folder with read sets of this input as files, and the sets' names."""
     from .sources.fastq import ReadSetSource
 
     spark.dataSource.register(ReadSetSource)
     folder = f"{_scratch(spark)}/readset-{os.urandom(6).hex()}"
     streams = _streams(spark, d)
     pairs = P.zip_reads({"r1": streams["r1"], "r2": streams["r1"]}).repartition(4, "group_id").sortWithinPartitions("group_id", "ordinal")
-    pairs.write.format("readset").option("suffix", "fastq.gz").mode("append").save(folder)
-    sets = sorted(x[: -len("_R1.fastq.gz")] for x in os.listdir(folder) if x.endswith("_R1.fastq.gz"))
-    manifest = json.dumps([{"r1": f"{folder}/{s}_R1.fastq.gz", "r2": f"{folder}/{s}_R2.fastq.gz", "r1_interleaved": False} for s in sets])
-    found = spark.read.format("readset").option("manifest", manifest).load()
+    if faults:  # a base that isn't one, in one cluster
+        pairs = pairs.withColumn("r2", F.when((F.col("group_id") == 0) & (F.col("ordinal") == 3), P.record("r2.header", F.lit("ACGU"), F.lit("IIII"))).otherwise(F.col("r2")))
+    pairs.write.format("readset").option("suffix", suffix).mode("append").save(folder)
+    return folder, sorted(x[: -len(f"_R1.{suffix}")] for x in os.listdir(folder) if x.endswith(f"_R1.{suffix}"))
+
+
+def _manifest(folder: str, sets: list[str], suffix: str = "fastq.gz") -> str:
+    return json.dumps([{"r1": f"{folder}/{s}_R1.{suffix}", "r2": f"{folder}/{s}_R2.{suffix}", "r1_interleaved": False} for s in sets])
+
+
+def fastq_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Read sets of this input written as files in the shared folder and scanned again by the reader."""
+    found = spark.read.format("readset").option("manifest", _manifest(*_written(spark, d))).load()
     return found.groupBy().agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.length("r1.seq")).alias("bases"), F.countDistinct("r1.header").alias("headers"))
 
 
+def fastq_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of which one has a fault: what came before it is kept, and the fault has a row."""
+    folder, sets = _written(spark, d, "fastq", True)
+    found = spark.read.format("readset").option("manifest", _manifest(folder, sets, "fastq")).option("on_error", "quarantine").load()
+    fault = F.substring_index("reason", " (", 1)
+    return found.where("reason is not null or r1.seq <> r2.seq").select(fault.alias("fault"), F.col("r1").isNull().alias("no_reads"))
+
+
+def folder_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a folder, listed by Spark, with their parts."""
+    folder, _ = _written(spark, d)
+    names = M.list_files(spark, folder, False).select(F.regexp_extract("path", r"_([RI][12])\.fastq\.gz$", 1).alias("read"))
+    return names.groupBy("read").agg((F.count(F.lit(1)) > 0).alias("there"))
+
+
 def _scratch(spark: SparkSession) -> str:
-    """The shared folder as a local path; a local one where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) and spark.conf.get("spark.checkpoint.dir").removeprefix("file://") or tempfile.mkdtemp()
+    """The shared folder as a path that Python opens too (the readset source needs one); in local mode a fresh one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        return tempfile.mkdtemp()
+    path = root.removeprefix("file://")
+    if "://" in path:
+        raise ValueError(f"read set files need a mounted folder, not {root}")
+    return path
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -294,5 +503,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hamming_skip, hamming_mutate, hamming_custom, deletion_neighbors, insertion_neighbors, edit_neighbors, barcode_correction, header_info,
         filename_bcl2fastq, filename_bcl_processor, group_files_bcl2fastq, group_files_bcl_processor, find_by_sample_and_lane, find_by_index, index_match_n,
         group_samples, zip_reads, header_mismatch, premature_end, length_trim, subsample, pattern_exists, mean_phred, interleave_roundtrip, trim_adapter, fastq_scan,
+        single_ended, odd_interleaved, check_range, empty_pairs, read_parts, range_valid, half_open_intersect, pairs_from_long, read_set_header, lane_modes, mixed_lanes, fastq_defs,
+        folder_samples, folder_indices, check_samples, char_sets, construct, seq_edits, seq_order, quality_scores, processed_reads, catalog_trim, trimmed_fastq, change_dir, fasta_roundtrip,
+        json_adapters, fastq_faults, folder_files,
     )
 } | {f"trim_homopolymer_{end[0:5].rstrip('_')}_{loc}": _poly(end, loc) for end in A.ENDS for loc in A.LOCATIONS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ADAPTER
@@ -29,6 +29,21 @@ def read_adapters(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("read", F.inline("adapters"))
 
 
+_PARTS = ("barcode", "umi", "rna", "rna2", "si")
+CHEMISTRY = ", ".join(
+    ["name string", "description string", *[f"{p}_read_{f}" for p in ("barcode", "umi", "rna", "si") for f in ("type string", "offset int", "length int")], *[f"rna_read2_{f}" for f in ("type string", "offset int", "length int")],
+     "strandedness string", "endedness string", "read_type_to_bcl_processor_filename map<string,string>", "read_type_to_bcl2fastq_filename map<string,string>", "barcode_whitelist string"]
+)
+
+
 def read_chemistry(spark: SparkSession, path: str) -> DataFrame:
-    """A chemistry (barcode, UMI and read positions) as one row, with the fields that the file has."""
-    return spark.read.json(path, multiLine=True)
+    """A chemistry as one typed row; fields that the file lacks are null."""
+    return spark.read.schema(CHEMISTRY).json(path, multiLine=True)
+
+
+def chemistry_range(part: str) -> Column:
+    """The range of a part (barcode, umi, rna, rna2 or si) in a chemistry's row: read, offset, len (null: open)."""
+    if part not in _PARTS:
+        raise ValueError(f"not a part: {part!r}")
+    field = "rna_read2" if part == "rna2" else f"{part}_read"
+    return F.when(F.col(f"{field}_type").isNotNull(), F.struct(F.lower(f"{field}_type").alias("read"), F.col(f"{field}_offset").alias("offset"), F.col(f"{field}_length").alias("len")))

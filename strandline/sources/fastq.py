@@ -37,6 +37,9 @@ from ..schema import READ_PAIR, READS, REASON
 GZIP, LZ4_FRAME = b"\x1f\x8b", b"\x04\x22\x4d\x18"
 PROBED = 10
 _BASES = re.compile(rb"[ACGTN]*")
+_PREFIX = re.compile(rb"[^ /]*")
+#: A manifest of at most so many sets is probed before the scan; the tasks check the files of a larger one, as of any.
+PROBED_SETS = 16
 
 
 class FastqError(Exception):
@@ -158,6 +161,104 @@ def read_pairs(reads: ReadSet, lengths: dict | None = None, rate: float = 1.0, s
         yield (reads.group_id, ordinal, *cut)
 
 
+#: Records of a file that are parsed at once.
+BLOCK = 4096
+_RECORD = pa.struct([("header", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
+_PAIR = pa.schema([("group_id", pa.int64()), ("ordinal", pa.int64()), *[(r, _RECORD) for r in READS]])
+
+
+class _Odd(Exception):
+    """A block that isn't plainly good: the record by record reader decides about it."""
+
+
+def _block(f: io.BufferedIOBase, count: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """Headers, sequences and qualities of the next `count` records, fewer at the end."""
+    lines = list(itertools.islice(f, 4 * count))
+    if len(lines) % 4:
+        raise _Odd
+    lines = [x.rstrip(b"\r\n") for x in lines]
+    heads, seqs, quals = lines[0::4], lines[1::4], lines[3::4]
+    good = all(x[:1] == b"@" for x in heads) and all(x[:1] == b"+" for x in lines[2::4]) and list(map(len, seqs)) == list(map(len, quals))
+    if not good or b"".join(seqs).translate(None, b"ACGTN"):
+        raise _Odd
+    return [x[1:] for x in heads], seqs, quals
+
+
+def _strings(values: list[bytes]) -> pa.Array:
+    if b"".join(values).isascii():
+        return pa.array(values, pa.binary()).cast(pa.string())
+    return pa.array([x.decode("latin-1") for x in values], pa.string())
+
+
+def _rows(group_id: int, rows: list[tuple]) -> pa.RecordBatch:
+    names = ("header", "seq", "qual")
+    structs = [pa.array([None if x is None else dict(zip(names, x)) for x in column], _RECORD) for column in zip(*(r[2:] for r in rows))]
+    return pa.RecordBatch.from_arrays([pa.array([group_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *structs], schema=_PAIR)
+
+
+def read_batches(reads: ReadSet, lengths: dict | None = None, rate: float = 1.0, seed: int = 0) -> Iterator[pa.RecordBatch]:
+    """What read_pairs gives, in Arrow batches. Blocks of all files are checked and built column by column; from the first
+    block on that isn't plainly good, read_pairs goes on, which finds the place of a fault."""
+    paths, lengths, done = {r: p for r in READS if (p := reads.paths.get(r))}, lengths or {}, 0
+    files: dict[str, io.BufferedIOBase] = {}
+    try:
+        try:
+            if "r1" not in paths:
+                raise _Odd
+            single = reads.interleaved and is_single_ended(paths["r1"], None, True)
+            files = {r: open_fastq(p) for r, p in paths.items()}
+            while True:
+                blocks = {r: _block(f, BLOCK * (2 if r == "r1" and reads.interleaved and not single else 1)) for r, f in files.items()}
+                if reads.interleaved:
+                    heads, seqs, quals = blocks["r1"]
+                    if single:
+                        blocks["r2"] = heads, [b""] * len(heads), [b""] * len(heads)
+                    elif len(heads) % 2:
+                        raise _Odd
+                    else:
+                        blocks["r1"], blocks["r2"] = (heads[0::2], seqs[0::2], quals[0::2]), (heads[1::2], seqs[1::2], quals[1::2])
+                sizes = {len(b[0]) for b in blocks.values()}
+                if len(sizes) > 1:
+                    raise _Odd
+                if not (n := sizes.pop()):
+                    return
+                there = [r for r in READS if r in blocks]
+                own = [_PREFIX.match(x)[0] for x in blocks[there[0]][0]]
+                kept = list(range(n)) if rate >= 1 else [i for i, x in enumerate(own) if sampled(x.decode("latin-1"), rate, seed)]
+                for r in there[1:]:
+                    other = blocks[r][0]
+                    if any(_PREFIX.match(other[i])[0] != own[i] for i in kept):
+                        raise _Odd
+                columns = []
+                for r in READS:
+                    if r not in blocks:
+                        columns.append(pa.nulls(len(kept), _RECORD))
+                        continue
+                    heads, seqs, quals = blocks[r] if len(kept) == n else tuple([x[i] for i in kept] for x in blocks[r])
+                    if (most := lengths.get(r)) is not None:
+                        seqs, quals = [x[:most] for x in seqs], [x[:most] for x in quals]
+                    columns.append(pa.StructArray.from_arrays([_strings(heads), _strings(seqs), _strings(quals)], fields=list(_RECORD)))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array([reads.group_id] * len(kept), pa.int64()), pa.array([done + i for i in kept], pa.int64()), *columns], schema=_PAIR)
+                done += n
+        finally:
+            for f in files.values():
+                f.close()
+    except (_Odd, FastqError, OSError, EOFError, pa.ArrowException):
+        rows: list[tuple] = []
+        try:
+            for row in read_pairs(reads, lengths, rate, seed):
+                if row[1] >= done:
+                    rows.append(row)
+                    if len(rows) == BLOCK:
+                        yield _rows(reads.group_id, rows)
+                        rows = []
+        finally:
+            if rows:
+                last, rows = rows, []
+                yield _rows(reads.group_id, last)
+
+
 def manifest_json(manifest: DataFrame) -> str:
     """A manifest (a table of a few thousand read sets, not of reads) as the option of that name."""
     return json.dumps([r.asDict() for r in manifest.select(*READS, "r1_interleaved").collect()])
@@ -170,7 +271,7 @@ class ReadSetReader(DataSourceReader):
         self.sets = [ReadSet(i, {r: s.get(r) for r in READS}, bool(s.get("r1_interleaved"))) for i, s in enumerate(sets)]
         self.lengths = {r: int(get(f"{r}_length")) for r in ("r1", "r2") if get(f"{r}_length") is not None}
         self.rate, self.seed, self.quarantine = float(get("subsample_rate", "1")), int(get("seed", "0")), get("on_error", "fail") == "quarantine"
-        if get("validate_on_open", "true").lower() == "true" and not self.quarantine:
+        if get("validate_on_open", "true").lower() == "true" and not self.quarantine and len(self.sets) <= PROBED_SETS:
             for s in self.sets:
                 for p in filter(None, s.paths.values()):
                     for _ in itertools.islice(records(p), PROBED):
@@ -179,18 +280,19 @@ class ReadSetReader(DataSourceReader):
     def partitions(self) -> list[ReadSet]:
         return self.sets
 
-    def read(self, partition: ReadSet) -> Iterator[tuple]:
-        found = read_pairs(partition, self.lengths, self.rate, self.seed)
+    def read(self, partition: ReadSet) -> Iterator[pa.RecordBatch]:
+        found = read_batches(partition, self.lengths, self.rate, self.seed)
         if not self.quarantine:
             yield from found
             return
-        last = -1
+        last, schema = -1, _PAIR.append(pa.field("reason", pa.string()))
         try:
-            for row in found:
-                last = row[1]
-                yield (*row, None)
+            for batch in found:
+                last = batch.column(1)[-1].as_py()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.string())], schema=schema)
         except FastqError as e:
-            yield (partition.group_id, last + 1, None, None, None, None, str(e))
+            one = [pa.array([partition.group_id], pa.int64()), pa.array([last + 1], pa.int64()), *[pa.nulls(1, _RECORD) for _ in READS], pa.array([str(e)])]
+            yield pa.RecordBatch.from_arrays(one, schema=schema)
 
 
 @dataclass

@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 import pytest
@@ -78,3 +79,64 @@ def test_catalog(spark):
     read = "A" * 10 + "CTCTCCTTCTCT" + SEQ
     pairs = spark.createDataFrame([(read,), ("CTCTCTCT",)], "s string").select(record(F.lit("h"), "s", "s").alias("r1"), F.lit(None).cast("struct<header:string,seq:string,qual:string>").alias("r2"))
     assert [r.r1.seq for r in catalog.trim(pairs).collect()] == ["CTCTCCTTCTCT", "CTCTCTCT"]
+
+
+def planted(rng, adapter, indels, most_errors=0.08):
+    """A read of some 150 bases and where the adapter stands in it: with errors, cut short by the read's end where its location allows."""
+    bases = list("ACGT")
+    seq = list(adapter.seq)
+    if adapter.location != "anchored" and rng.random() < 0.5:
+        keep = int(rng.integers(12, len(seq) + 1))
+        seq = seq[:keep] if adapter.end == "three_prime" else seq[-keep:]
+        whole = keep == len(adapter.seq)
+    else:
+        whole = True
+    for _ in range(int(rng.integers(0, int(most_errors * len(seq)) + 1))):
+        k, kind = int(rng.integers(3, len(seq) - 3)), rng.integers(3) if indels else 0
+        if kind == 0:
+            seq[k] = bases[(bases.index(seq[k]) + 1 + int(rng.integers(3))) % 4]
+        elif kind == 1:
+            del seq[k]
+        else:
+            seq.insert(k, str(rng.choice(bases)))
+    body = "".join(rng.choice(bases, 100))
+    behind = "".join(rng.choice(bases, int(rng.integers(0, 30)))) if whole and adapter.location == "anywhere" else ""
+    if adapter.end == "three_prime":
+        return body + "".join(seq) + behind, len(body), len(body) + len(seq)
+    return behind + "".join(seq) + body, len(behind), len(behind) + len(seq)
+
+
+@pytest.mark.parametrize("indels", [False, True])
+@pytest.mark.parametrize("location", A.LOCATIONS)
+@pytest.mark.parametrize("end", A.ENDS)
+def test_accuracy(end, location, indels):
+    """Sensitivity, precision and concordance (inner end within two bases) of planted adapters, each above 0.99."""
+    rng = np.random.default_rng(A.ENDS.index(end) * 10 + A.LOCATIONS.index(location) + 100 * indels)
+    found_, planted_, right, wrong = 0, 0, 0, 0
+    for k in range(5):
+        adapter = A.Adapter(f"a{k}", end, location, "".join(rng.choice(list("ACGT"), int(rng.integers(24, 34)))))
+        cases = [planted(rng, adapter, indels) for _ in range(200)]
+        none = ["".join(rng.choice(list("ACGT"), 150)) for _ in range(200)]
+        got = A.align([c[0] for c in cases] + none, adapter)
+        hit = got[0].astype(bool)
+        planted_ += 200
+        found_ += int(hit[:200].sum())
+        wrong += int(hit[200:].sum())
+        inner = got[1][:200] if end == "three_prime" else got[2][:200]
+        want = np.array([c[1] if end == "three_prime" else c[2] for c in cases])
+        right += int((hit[:200] & (np.abs(inner - want) <= 2)).sum())
+    assert found_ / planted_ > 0.99 and found_ / (found_ + wrong) > 0.99 and right / found_ > 0.99, (found_, planted_, wrong, right)
+
+
+def test_groups_of_alike_lengths():
+    lengths = np.array([150, np.nan, 9, 150, 100_000, 0, 151, np.nan, 10] * 50, float)
+    groups = list(A.alike_lengths(lengths, 30))
+    assert sorted(np.concatenate(groups).tolist()) == np.flatnonzero(~np.isnan(lengths)).tolist()
+    assert all(lengths[g].max() <= lengths[g].min() * 1.25 + 8 and len(g) * lengths[g].max() <= 1 << 23 for g in groups)
+
+
+def test_catalog_leaves_other_columns(spark):
+    pairs = spark.createDataFrame([(1, ("h", "CCCCCCCCAAAAAAAA", "I" * 16), None, 5)], "_hit0 int, r1 struct<header:string,seq:string,qual:string>, r2 struct<header:string,seq:string,qual:string>, x int")
+    out = A.AdapterCatalog({"r1": [A.Adapter("p", "three_prime", "anywhere", "AAAAAAAA")]}).trim(pairs)
+    row = out.first()
+    assert out.columns == pairs.columns and row.r1.seq == "CCCCCCCC" and row._hit0 == 1

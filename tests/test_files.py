@@ -148,7 +148,7 @@ def test_bcl_processor_folder(spark, tmp_path):
     named = X.group_samples(d.groups, X.index_table(spark), True).groupBy("set_name").count().collect()
     assert dict(map(tuple, named)) == {"220027": 2, "GTATNCAC": 2, "AAAAAAAA": 2}
     assert X.group_samples(d.groups, X.index_table(spark), False).count() == 2
-    assert list(sets_in(str(tmp_path), "bcl_processor").values())[0]["r1_interleaved"]
+    assert sets_in(str(tmp_path), "bcl_processor")[0]["r1_interleaved"]
 
 
 def test_processor(spark, tmp_path):
@@ -175,7 +175,7 @@ def test_relations(spark, tmp_path):
 def test_stream(spark, tmp_path):
     spark.dataSource.register(ReadSetSource)
     put(tmp_path / "a_S1_L001_R1_001.fastq", fq(5))
-    stream = spark.readStream.format("readset").option("folder", str(tmp_path)).load()
+    stream = spark.readStream.format("readset").option("folder", str(tmp_path)).option("required", "R1").load()
     run = lambda: stream.writeStream.format("parquet").option("path", str(tmp_path / "out/x")).option("checkpointLocation", str(tmp_path / "out/c")).trigger(availableNow=True).start().awaitTermination(90)
     run()
     put(tmp_path / "b_S2_L001_R1_001.fastq", fq(7))
@@ -183,6 +183,79 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/x")).count() == 12
 
 
+def test_stream_waits_for_late_reads(spark, tmp_path):
+    """R1 alone is not a set; when R2 comes, both are read, once."""
+    spark.dataSource.register(ReadSetSource)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.format("readset").option("folder", str(tmp_path / "in")).load()
+    run = lambda: stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+    put(tmp_path / "in" / "a_S1_L001_R1_001.fastq", fq(5))
+    put(tmp_path / "in" / "b_S2_L001_R1_001.fastq", fq(3))
+    put(tmp_path / "in" / "b_S2_L001_R2_001.fastq", fq(3))
+    run()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 3 and all(r.r2 is not None for r in rows)
+    put(tmp_path / "in" / "a_S1_L001_R2_001.fastq", fq(5))
+    run()
+    run()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 8 and all(r.r2 is not None for r in rows) and len({(r.group_id, r.ordinal) for r in rows}) == 8
+
+
+def test_batches_are_the_rows(tmp_path, monkeypatch):
+    """Columnar reading against reading record by record: blocks of any size, odd ends, samples, faults."""
+    from strandline.sources import fastq
+
+    good, crlf = fq(50, " 1"), fq(50, "/2").replace(b"\n", b"\r\n")
+    both = b"".join(render((f"c:{i} {k}", "ACGT", "IIII")) for i in range(25) for k in (1, 2))
+    cases = [
+        ({"r1": good, "r2": crlf}, False), ({"r1": good + b"\n\n", "i1": good}, False), ({"r1": both}, True), ({"r1": good}, True), ({"r1": good[:-1], "r2": fq(49)}, False),
+        ({"r1": good, "r2": fq(20) + fq(30, start=21)}, False), ({"r1": both[:-18]}, True), ({"r1": good.replace(b"c:30", b"c:\xe9")}, False), ({"r1": fq(7) + b"@x\nAU\n+\nII\n" + fq(3)}, False),
+    ]
+    for block in (4096, 7):
+        monkeypatch.setattr(fastq, "BLOCK", block)
+        for k, (files, interleaved) in enumerate(cases):
+            paths = {r: put(tmp_path / f"{k}{r}", x) for r, x in files.items()}
+            for rate, lengths in ((1.0, {}), (0.5, {"r1": 3})):
+                def drain(found, out):
+                    try:
+                        for x in found:
+                            out.append(x)
+                    except fastq.FastqError as e:
+                        return str(e)
+
+                want, batches = [], []
+                fault = drain(fastq.read_pairs(fastq.ReadSet(4, paths, interleaved), lengths, rate, 1), want)
+                assert drain(fastq.read_batches(fastq.ReadSet(4, paths, interleaved), lengths, rate, 1), batches) == fault
+                rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+                assert [tuple(tuple(x.values()) if isinstance(x, dict) else x for x in r) for r in rows] == want
+
+
+def test_definitions(spark, tmp_path):
+    touch(tmp_path, "a_S1_L001_R1_001.fastq.gz", "a_S1_L001_R2_001.fastq.gz", "a_S1_L002_R1_001.fastq.gz")
+    d = M.fastq_def({"bcl2fastq": {"path": str(tmp_path), "lanes": [2]}})
+    assert d == M.Bcl2FastqDef(str(tmp_path), None, (2,)) and M.fastq_def(M.fastq_def_json(d)) == d and d.find(spark).count() == 1
+    for bad in ("[]", '{"other": {}}', '{"bcl2fastq": {"no": 1}}'):
+        with pytest.raises(M.ManifestError):
+            M.fastq_def(bad)
+    with pytest.raises(M.ManifestError, match="No read files"):
+        M.check_samples(spark, str(tmp_path), None, [7])
+
+
+def test_set_header_and_slots(spark):
+    kind = "group_id long, ordinal long, header string, seq string, qual string"
+    rows = spark.createDataFrame([(1, 0, "i:3:f:2:1 1:N", "A", "I"), (1, 1, "i:4:f:2:1", "A", "I"), (2, 0, "odd", "A", "I")], kind)
+    pairs = P.zip_reads({"r1": rows})
+    got = {r.group_id: r.header_info for r in P.read_set_header(pairs).collect()}
+    assert tuple(got[1]) == ("i", 3, "f", 2) and got[2] is None
+    assert tuple({r.group_id: r.header_info for r in P.read_set_header(pairs, True).collect()}[2]) == H.UNKNOWN_HEADER
+    with pytest.raises(ValueError, match="no reads"):
+        P.read_set_header(pairs.limit(0))
+    twice = P.to_long(pairs).unionByName(P.to_long(pairs))
+    with pytest.raises(Exception, match="there already"):
+        P.from_long(twice).collect()
+
+
 def test_fasta_and_json(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one first read\nACGT\nAC\n>two\nGG\n")
     assert [tuple(r) for r in fasta.read_fasta(spark, str(tmp_path / "a.fa")).collect()] == [("one", "first read", "ACGTAC"), ("two", "", "GG")]
