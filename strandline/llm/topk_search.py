@@ -9,8 +9,9 @@ has its exact score. Each slice gives k rows a query, and the k best of those ar
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; vectors are compared
 with those of their own length; a candidate row is any row but the query's own, so rows that repeat an id are candidates;
-equal scores go by smaller vec_id, null ids last. Components beyond 2**24 after scaling raise an error, as their sums
-may not be exact. Fewer than k candidates give fewer rows, an empty table none.
+equal scores go by smaller vec_id, null ids last. Vectors with components beyond 2**24 after scaling are compared in whole
+numbers of any size, without the bounds; components are held to 64 bits, and so is a score. Fewer than k candidates give fewer
+rows, an empty table none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ K = 5
 SCALE = 256
 SLICE, GROUP = 8192, 2048
 DIMENSION_BLOCK = 8
-_LARGEST = 1 << 24
+_LARGEST, _MOST = 1 << 24, (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -41,14 +42,43 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
-    m = flat.flatten().to_numpy().reshape(len(flat), -1)
-    if len(m) and np.abs(m).max() > _LARGEST:
-        raise ValueError("top-k search: a component is too large for exact scores")
-    return m.astype(np.float64)  # whole numbers: products and sums are exact
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, step: int = DIMENSION_BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query: places of its k best vectors and their scores. ids order ties."""
+def _large(m: np.ndarray) -> np.ndarray:
+    """Which vectors hold a component whose products and sums may not be exact as floating-point numbers."""
+    return ((m > _LARGEST) | (m < -_LARGEST)).any(axis=1)
+
+
+def _exact(queries: np.ndarray, vectors: np.ndarray) -> list[list[int]]:
+    """All scores, as Python's integers."""
+    return (queries.astype(object) @ vectors.T.astype(object)).tolist() if len(queries) and len(vectors) else [[] for _ in queries]
+
+
+def search_slice(queries: np.ndarray, query_rows: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """best() for vectors of any size: large queries meet all candidates, and large candidates all queries, in exact numbers."""
+    big_q, big_v = _large(queries), _large(vectors)
+    if not big_q.any() and not big_v.any():
+        return best(queries.astype(np.float64), query_rows, bounds, vectors.astype(np.float64), rows, ids, k)
+    small = np.flatnonzero(~big_v)
+    plain = iter(best(queries[~big_q].astype(np.float64), query_rows[~big_q], bounds[~big_q], vectors[small].astype(np.float64), rows[small], ids[small], k))
+    large = np.flatnonzero(big_v)
+    for_all, for_big = iter(_exact(queries[~big_q], vectors[large])), iter(_exact(queries[big_q], vectors))
+    out = []
+    for i, is_big in enumerate(big_q.tolist()):
+        if is_big:
+            found = list(zip(next(for_big), range(len(vectors))))
+        else:
+            places, scores = next(plain)
+            found = list(zip(scores.tolist(), small[places].tolist())) + list(zip(next(for_all), large.tolist()))
+        held = ((max(min(score, _MOST), -_MOST - 1), j) for score, j in found if rows[j] != query_rows[i])
+        found = sorted((-score, int(ids[j]), int(rows[j]), j) for score, j in held)[:k]
+        out.append((np.array([x[3] for x in found], np.int64), np.array([-x[0] for x in found], np.int64)))
+    return out
+
+
+def best(queries: np.ndarray, query_rows: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, step: int = DIMENSION_BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query: places of its k best vectors and their scores, of those that reach its bound. ids order ties."""
     mass = (vectors**2).sum(axis=0) * (queries**2).sum(axis=0)
     by = np.argsort(-mass, kind="stable")
     columns, q = np.ascontiguousarray(vectors[:, by].T), queries[:, by]
@@ -63,12 +93,16 @@ def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows:
         for s, rv, rq in zip(starts, rest_v, rest_q):
             block = columns[s : s + step]
             part += q[i, s : s + step] @ (block if len(alive) == block.shape[1] else block[:, alive])
+            slack = rv[alive] * rq[i]
+            reach = bounds[i]
             if len(alive) > k:
-                slack = rv[alive] * rq[i]
                 low = part - slack
-                keep = part + slack >= np.partition(low, len(low) - k)[len(low) - k] - 0.5
-                if not keep.all():
-                    alive, part = alive[keep], part[keep]
+                reach = max(reach, np.partition(low, len(low) - k)[len(low) - k])
+            keep = part + slack >= reach - 0.5
+            if not keep.all():
+                alive, part = alive[keep], part[keep]
+            if not len(alive):
+                break
         order = np.lexsort((rows[alive], ids[alive], -part))[:k]
         out.append((alive[order], part[order].astype(np.int64)))
     return out
@@ -93,7 +127,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
         q_rows, rows_ = queries.column("row").to_numpy(), candidates.column("c_row").to_numpy()
         ids = candidates.column("c_id")
         sortable = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-        found = best(_matrix(queries.column("v")), q_rows, _matrix(candidates.column("c_v")), rows_, sortable, k)
+        found = search_slice(_matrix(queries.column("v")), q_rows, queries.column("bound").to_numpy(), _matrix(candidates.column("c_v")), rows_, sortable, k)
         sizes = [len(p) for p, _ in found]
         places = np.concatenate([p for p, _ in found])
         return pa.table(
@@ -101,6 +135,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
             schema=schema,
         )
 
-    found = left.groupBy("dim", "g", "s").cogroup(right.groupBy("c_dim", "c_g", "c_s")).applyInArrow(search, "query_row long, query_id long, row long, vec_id long, score long")
+    def scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+        return queries.groupBy("dim", "g", "s").cogroup(candidates.groupBy("c_dim", "c_g", "c_s")).applyInArrow(search, "query_row long, query_id long, row long, vec_id long, score long")
+
+    none = F.lit(float("-inf"))
+    found = scores(left.where("s = 0").withColumn("bound", none), right.where("c_s = 0"))
+    if slices > 1:
+        found = cut(found, "first-slice")
+        bounds = found.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k)
+        rest = left.where("s > 0").join(bounds.select(F.col("query_row").alias("row"), "least"), "row", "left").withColumn("bound", F.coalesce("least", none)).drop("least")
+        found = found.unionByName(scores(rest, right.where("c_s > 0")))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -36,3 +38,26 @@ def test_awkward(spark):
     frame = spark.createDataFrame([(*r, 3, "x") for r in rows], "vec_id long, embedding array<float>, score int, row string")
     assert run(frame, 2) == brute([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], 2)
     assert run(frame.limit(0), 2) == []
+
+
+def test_large_components(spark):
+    """Components far beyond 2**24 after scaling: exact scores, no error, beside ordinary vectors."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(60)] + [(100, [70000.0] * 6), (101, [-70001.5] + [3.25] * 5), (102, [1e9, -1e9, 1e9, 1.0, 0.5, 2.0]), (104, [1e9, 1e9, 1e9, 1.0, 0.5, 2.0])]
+    held = lambda s: max(min(s, (1 << 63) - 1), -(1 << 63))
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 2 == 0:
+            scores = sorted((-held(sum(a * b for a, b in zip(q, v))), j) for j, v in whole if j != i)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert run(frame, 2) == sorted(want, key=str)
+
+
+def test_bounds_from_the_first_slice(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 12)]) for i in range(500)]  # many ties
+    monkeypatch.setattr(topk_search, "SLICE", 40)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert run(frame, 20) == brute(rows, 20)
