@@ -11,11 +11,12 @@ the table, and then decompresses the frames it wants alone. Files are rows of a
 payload): a cluster's executors share no other place; export() writes them as files to a mounted folder.
 
 Encoding reads each text once. Texts are cut at ASCII white space, at which the tokenizer never joins, and the library
-encodes each distinct piece once per worker as long as a cache of bounded size holds it. Range partitioning and sorting by
-id are Spark's own and spill; a file is closed at `file_bytes`, so memory is bounded by that and by one document.
+encodes each distinct piece once per worker as long as a cache of bounded size holds it. Range partitioning and sorting are
+Spark's own and spill; they go by id, checksum, length and a number of the row, so repeated or null ids spread over
+partitions like any others. A file is closed at `file_bytes`, so memory is bounded by that and by one document.
 
 Defined results: a null text is an empty one (the end id alone); null ids come first; equal ids follow each other,
-ordered by checksum and length. An empty table gives no files and no rows.
+ordered by checksum and length; a text longer than `file_bytes` has a file of its own. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -209,8 +210,11 @@ def read_frame(payload: bytes, table: np.ndarray, width: int, k: int, offset: in
     return np.frombuffer(raw, f"<u{width}")
 
 
+FILES = "part int, seq int, n_docs long, n_tokens long, first_id long, last_id long, payload binary"
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """The table of files: part, seq (ids ascend by part and seq), payload."""
+    """The table of files: part, seq (ids ascend by part and seq), n_docs, n_tokens, first_id and last_id (null: null ids only), payload."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -220,7 +224,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
         frames: list[bytes] = []
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([pack_file(entries, frames, width)], pa.binary())], names=["part", "seq", "payload"])
+            ids = [x[0] for x in entries if not x[1]]
+            values = [part, seq, len(entries), sum(x[3] for x in entries), min(ids, default=None), max(ids, default=None), pack_file(entries, frames, width)]
+            kinds = [("part", pa.int32()), ("seq", pa.int32()), *[(c, pa.int64()) for c in ("n_docs", "n_tokens", "first_id", "last_id")], ("payload", pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(values, kinds)], names=[c for c, _ in kinds])
 
         for batch in batches:
             for doc_id, n, crc, frame in zip(*(c.to_pylist() for c in batch.columns)):
@@ -233,15 +240,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
         if entries:
             yield close()
 
-    framed = cut(encode_frames(docs, tokenizer, end_id, width, id_col, text_col), "frames")
-    ordered = framed.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc32", "n_tokens")
-    return cut(ordered.mapInArrow(assemble, "part int, seq int, payload binary"), "token-files")
+    framed = cut(encode_frames(docs, tokenizer, end_id, width, id_col, text_col), "frames").withColumn("tie", F.monotonically_increasing_id())
+    by = [F.col("doc_id").asc_nulls_first(), F.col("crc32"), F.col("n_tokens"), F.col("tie")]
+    ordered = framed.repartitionByRange(*by).sortWithinPartitions(*by).drop("tie")
+    return cut(ordered.mapInArrow(assemble, FILES), "token-files")
 
 
 def read_documents(files: DataFrame, wanted: list[int] | None = None, with_ids: bool = True) -> DataFrame:
     """Per document (all, or those of the ids `wanted`): part, seq, doc_id, at (ids before it in its file), n_tokens,
     ids_crc32, ids (null if not asked for). Only the frames asked for are decompressed."""
     want = None if wanted is None else np.array(sorted(set(wanted)), np.int64)
+    if want is not None:
+        ids = F.array(*[F.lit(int(x)) for x in want]).cast("array<long>")
+        reach = F.col("first_id").between(int(want.min()), int(want.max())) | F.lit(int(want.min())).between(F.col("first_id"), F.col("last_id")) if len(want) else F.lit(False)
+        files = files.where(reach & F.exists(ids, lambda x: x.between(F.col("first_id"), F.col("last_id"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,21 +277,19 @@ def read_documents(files: DataFrame, wanted: list[int] | None = None, with_ids:
                             names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
                         )
 
-    return files.mapInArrow(read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long, ids array<int>")
+    return files.select("part", "seq", "payload").mapInArrow(read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def file_totals(files: DataFrame) -> DataFrame:
-    """Per file: part, seq, n_docs, n_tokens, base (ids in all files before it), from the seek tables alone."""
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tables = [seek_table(x.as_py())[0] for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in tables], pa.int64()), pa.array([int(t["n_tokens"].sum()) for t in tables], pa.int64())], names=["part", "seq", "n_docs", "n_tokens"])
-
-    found = files.mapInArrow(totals, "part int, seq int, n_docs long, n_tokens long")
-    # a row for each file of megabytes: the running sum is over the file list, not over documents
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    """Per file: part, seq, n_docs, n_tokens, base (ids in all files before it); no payload is read."""
+    found = files.select("part", "seq", "n_docs", "n_tokens")
+    # sums of whole parts first: one row a partition in the only window that spans them all
+    parts = found.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("part_tokens").over(whole), F.lit(0)).alias("part_base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = found.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    return own.join(parts, "part").select("part", "seq", "n_docs", "n_tokens", (F.col("part_base") + F.col("inside")).cast("long").alias("base"))
 
 
 def token_positions(files: DataFrame) -> DataFrame:
@@ -304,4 +314,4 @@ def export(files: DataFrame, folder: str) -> DataFrame:
                 os.replace(out.name, path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths)], names=["part", "seq", "path"])
 
-    return files.mapInArrow(write, "part int, seq int, path string")
+    return files.select("part", "seq", "payload").mapInArrow(write, "part int, seq int, path string")

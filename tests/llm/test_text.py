@@ -282,6 +282,8 @@ def test_token_files(documents, texts):
     assert files.count() > 5
     got = sorted(tuple(r) for r in token_files.token_positions(files).collect())
     assert got == brute_tokens(sorted(texts.items()))
+    rows = files.collect()
+    assert all((r.n_docs, r.n_tokens) == (len(t := token_files.seek_table(r.payload)[0]), int(t["n_tokens"].sum())) and (r.first_id, r.last_id) == (t["doc_id"].min(), t["doc_id"].max()) for r in rows)
     wanted = [3, 50, 51, 10**9]
     some = {r.doc_id: r.ids for r in token_files.read_documents(files, wanted).collect()}
     assert sorted(some) == [3, 50, 51] and all(some[i][-1] == 2 for i in some)
@@ -295,6 +297,9 @@ def test_token_files_awkward(frame):
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(((i, n, c) for i, _, n, c in want), key=str)
     assert {r.doc_id: r.start for r in got if r.doc_id in (8, 9, 20)} == {i: s for i, s, _, _ in want if i in (8, 9, 20)}
     assert token_files.token_positions(token_files.write_token_files(frame([]), WORD_BPE, 2)).collect() == []
+    assert token_files.read_documents(token_files.write_token_files(frame([(None, "a")] * 3), WORD_BPE, 2), [0, 1]).collect() == []
+    same = token_files.token_positions(token_files.write_token_files(frame([(7, "a b")] * 40 + [(None, "c")] * 40), WORD_BPE, 2, file_bytes=60)).collect()
+    assert len({r.start for r in same}) == 80 and max(r.start for r in same if r.doc_id is None) < min(r.start for r in same if r.doc_id == 7)
 
 
 def test_frames_are_plain_zstandard_and_checked(documents, tmp_path):
