@@ -19,48 +19,81 @@ WORD_BPE, PIECES = tokenizer_file("word_bpe_49k.json"), tokenizer_file("piece_bp
 # ---- quality classifier
 
 
-def naive_kn(texts, order, alphabet):
-    """Interpolated modified Kneser-Ney by definition, over symbols as strings."""
-    sym = lambda c: c if c in alphabet else "?"
+def naive_kn(texts, order):
+    """Interpolated modified Kneser-Ney by definition, over bytes, with a start mark of its own."""
     grams = Counter()
+    symbols = lambda t: ["^"] * (order - 1) + list(t.encode())
     for t in texts:
-        s = ["^"] * (order - 1) + [sym(c) for c in t]
+        s = symbols(t)
         for i in range(order - 1, len(s)):
             grams[tuple(s[i - order + 1 : i + 1])] += 1
     counts = {order: grams}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
-    size = len(alphabet) + 2
     discount = {k: kneser_ney.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for k, c in counts.items()}
+    followers = {}
+    for k, c in counts.items():
+        for g, n in c.items():
+            followers.setdefault(g[:-1] if k > 1 else (), []).append(n)
+    memo = {}
 
     def p(g):
-        k = len(g)
-        lower = p(g[1:]) if k > 1 else 1 / size
-        followers = {h: n for h, n in counts[k].items() if h[:-1] == g[:-1]}
-        if not followers:
-            return lower
-        total = sum(followers.values())
-        d = lambda n: discount[k][min(n, 3) - 1]
-        own = max(counts[k][g] - d(counts[k][g]), 0) if counts[k][g] else 0
-        return own / total + sum(map(d, followers.values())) / total * lower
+        if g not in memo:
+            k = len(g)
+            lower = p(g[1:]) if k > 1 else 1 / 256
+            after = followers.get(g[:-1] if k > 1 else ()) if k > 1 else list(counts[1].values())
+            if not after:
+                memo[g] = lower
+            else:
+                d = lambda n: discount[k][min(n, 3) - 1]
+                own = max(counts[k][g] - d(counts[k][g]), 0) if counts[k][g] else 0
+                memo[g] = own / sum(after) + sum(map(d, after)) / sum(after) * lower
+        return memo[g]
 
     def logp(t):
-        s = ["^"] * (order - 1) + [sym(c) for c in t]
+        s = symbols(t)
         return sum(math.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s)))
 
     return logp
 
 
-def test_kneser_ney_by_definition(frame):
-    train = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "mat and log", "thé"]
-    model = kneser_ney.train(frame(list(enumerate(train))), 3)
-    logp = naive_kn(train, 3, set("".join(train)))
-    tests = ["the cat", "zzz", "", "the log sat!", "x" * 50, "dog on a mat"]
-    got, n = kneser_ney.text_logp(model, tests)
-    assert n.tolist() == [len(t) for t in tests]
-    assert np.allclose(got, [logp(t) for t in tests], rtol=1e-4), (got, [logp(t) for t in tests])
-    total = sum(math.exp(kneser_ney.text_logp(model, ["th" + c])[0][0] - kneser_ney.text_logp(model, ["th"])[0][0]) for c in sorted(set("".join(train))) + ["\x01"])
-    assert 0.97 < total <= 1.0001  # the rest is the start mark's
+@pytest.mark.parametrize("order,shard_ngrams", [(2, 1000), (3, 40), (5, 100)])
+def test_kneser_ney_by_definition(frame, order, shard_ngrams):
+    train = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "mat and log", "thé 漢字"]
+    model = kneser_ney.train(frame(list(enumerate(train))), order, shard_ngrams)
+    logp = naive_kn(train, order)
+    tests = ["the cat", "zzz", "", "the log sat!", "x" * 50, "dog on a mat", "漢", "\x00", None, "th"] + ["th" + c for c in "eéx "]
+    for size in (1 << 20, 40):
+        got = {r.key: r for r in kneser_ney.log_probs(frame(list(enumerate(tests))), model, F.col("doc_id"), block_bytes=size).collect()}
+        assert [got[i].n for i in range(len(tests))] == [len((t or "").encode()) for t in tests]
+        assert np.allclose([got[i].logp for i in range(len(tests))], [logp(t or "") for t in tests], rtol=1e-4)
+
+
+def test_quality_by_brute_force(spark, frame):
+    """Means, thresholds and decisions against the model by definition."""
+    rng = np.random.default_rng(3)
+    words = ["cat", "dog", "sat", "on", "the", "mat", "log", "and"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(3, 9)))) for i in range(60)] + [(100 + i, "".join(chr(int(c)) for c in rng.integers(33, 90, 40))) for i in range(6)] + [(200, "mat"), (201, ""), (202, None)]
+    docs = frame(rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").when(F.col("doc_id") != 201, "b"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    sample = {r.doc_id: r for r in kneser_ney.trusted_sample(docs, labels, 2000, 11, "doc_id", "text", "lang").collect()}
+    logp = naive_kn([r.text for r in sample.values() if not r.calibrate], 3)
+    held = [(r.lang, logp(r.text), len(r.text)) for r in sample.values() if r.calibrate]
+    assert len(sample) == 50 and len(held) > 4
+
+    def level(rows):
+        mean = -sum(x for _, x, _ in rows) / sum(n for _, _, n in rows)
+        ppl = [math.exp((kneser_ney.PRIOR * mean - x) / (n + kneser_ney.PRIOR)) for _, x, n in rows]
+        return mean, float(np.quantile(ppl, kneser_ney.QUANTILE)) * kneser_ney.SLACK
+
+    levels = {k: level([r for r in held if r[0] == k]) for k in ("a", "b")} | {None: level(held)}
+    got = {r.doc_id: r for r in kneser_ney.score(docs, kneser_ney.fit(docs, labels, 3)).collect()}
+    for i, t in rows:
+        mean, limit = levels[None if i == 201 else "ab"[i % 2]]
+        t = t or ""
+        ppl = math.exp((kneser_ney.PRIOR * mean - logp(t)) / (len(t) + kneser_ney.PRIOR))
+        assert math.isclose(got[i].perplexity, ppl, rel_tol=1e-4) and math.isclose(got[i].threshold, limit, rel_tol=1e-4) and got[i].kept == (ppl <= limit)
+    assert not any(got[i].kept for i in range(100, 106)) and sum(got[i].kept for i in range(60)) > 50
 
 
 def test_quality_held_out(spark):
