@@ -11,7 +11,8 @@ in .env files. The interval join looks for the nearest span of the complementary
 in the parts of a text and emits no pairs.
 
 Spans are code points, end exclusive. Defined results: a null text is an empty one and has no spans; a null id is kept
-as null; repeated rows give repeated results; an empty table gives no rows.
+as null; repeated rows give repeated results; long texts are scanned whole, a few megabytes of texts or one text at a time;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .minhash_dedup import byte_runs
+
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 REACH = 300
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -106,9 +109,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t.as_py(), reach)] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+        for whole in batches:
+            for at, stop in byte_runs(whole.column(1)):
+                batch = whole.slice(at, stop - at)
+                found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t.as_py(), reach)] for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
