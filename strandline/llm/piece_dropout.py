@@ -2,7 +2,7 @@
 
 Encoding follows the BPE model: symbols of a unit merge in order of the merged piece's rank, leftmost first, from an
 agenda; each candidate merge that comes up is skipped when a hash keyed by seed, document, the unit's place in the text,
-unit, place and merged piece falls below `dropout`. With dropout 0 the result is the model's own. So every occurrence of
+the place in the unit and the merged piece falls below `dropout`. With dropout 0 the result is the model's own. So every occurrence of
 a word is cut by draws of its own, and always alike when run again, on any machine. No cuts are cached; the agendas of
 many units go on side by side, in NumPy.
 
@@ -11,7 +11,7 @@ there. Characters without a piece become byte pieces, and so does a literal U+25
 decoding gives every text back exactly.
 
 Defined results: null and empty texts give no pieces; a null id draws by the text instead; rows that share an id share their
-draws at equal places; an empty table gives no rows.
+draws at equal places; a text is cut whole, however long, its units some thousands at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -29,17 +28,19 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .minhash_dedup import byte_runs
+
 SPACE = "▁"
 LITERAL = "\x00▁"  # a symbol for U+2581 in the text: no piece holds it
 UNITS_AT_ONCE = 16_384
 SHORT = 24
-TEXTS_AT_ONCE = 200
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 200, 4 << 20
 _M64, _NEVER, _NONE = (1 << 64) - 1, 1 << 62, (1 << 31) - 1
-_K0, _K1, _K2, _K3, _K4 = 0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_K1, _K2, _K3, _K4 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def _skipped(base: int, place: int, rank: int, limit: int) -> bool:
-    """The keyed draw of a candidate: of a unit's base, the place of its first character and the merged piece."""
+    """The keyed draw of a candidate: of an occurrence's key, the place of its first character and the merged piece."""
     x = (base ^ (place * _K1) ^ (rank * _K2)) & _M64
     x = ((x ^ (x >> 31)) * _K3) & _M64
     x = ((x ^ (x >> 29)) * _K4) & _M64
@@ -95,6 +96,20 @@ def _skipped_many(base: np.ndarray, place: np.ndarray, rank: np.ndarray, limit:
     return x ^ (x >> np.uint64(32)) < np.uint64(min(limit, _M64))
 
 
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(_K1) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _hash_table(pairs: list[tuple[int, int]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (-1: free) and values of a table of open addresses: much faster to ask than a sorted one."""
+    keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32)
+    for (key, value), at in zip(pairs, _slots(np.array([k for k, _ in pairs], np.int64), bits).tolist() if pairs else []):
+        while keys[at] >= 0:
+            at = (at + 1) & ((1 << bits) - 1)
+        keys[at], values[at] = key, value
+    return keys, values
+
+
 class PieceModel:
     """Pieces, ranks and bytes of a model file."""
 
@@ -119,7 +134,8 @@ class PieceModel:
                 self.char_ids[ord(p)] = i
         self.char_ids[ord(" ")], self.char_ids[ord(SPACE)] = self.char_ids[ord(SPACE)], -1
         pairs = sorted((self.ids[p[:k]] * size + self.ids[p[k:]], r) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
-        self.pairs, self.pair_ranks = np.array([x for x, _ in pairs] or [-1], np.int64), np.array([r for _, r in pairs] or [_NONE], np.int32)
+        self.bits = max(10, (8 * len(pairs)).bit_length())
+        self.pairs, self.pair_ranks = _hash_table(pairs, self.bits)
         self.rank_ids = np.array([i for _, i in by_score], np.int32)
         # a line break may end a unit if no piece holds one
         self.units = re.compile(r" *[^ \n]+| +|\n" if not any("\n" in p for p in self.ids) else r" *[^ ]+| +")
@@ -127,8 +143,7 @@ class PieceModel:
     def segment(self, unit: str, dropout: float, key: int = 0) -> list[int]:
         """Ids of a unit (a run of spaces and what follows up to the next space)."""
         symbols = list(unit.replace(" ", SPACE)) if SPACE not in unit else [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
-        base = zlib.crc32(unit.encode("utf-8", "surrogatepass")) * _K0 ^ key
-        symbols = (_merge_short if len(symbols) <= SHORT else _merge_long)(symbols, self.rank, base, int(dropout * (1 << 64)))
+        symbols = (_merge_short if len(symbols) <= SHORT else _merge_long)(symbols, self.rank, key, int(dropout * (1 << 64)))
         out = []
         for s in symbols:
             if (i := self.ids.get(s)) is not None:
@@ -139,8 +154,19 @@ class PieceModel:
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * len(self.bytes_of) + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.pair_ranks[at], _NONE)
+        at = _slots(key, self.bits)
+        found = self.pairs[at]
+        out = self.pair_ranks[at]
+        other = found != key
+        out[other] = _NONE
+        open_ = np.flatnonzero(other & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.pairs[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.pair_ranks[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
     def _merge_many(self, ids: np.ndarray, sizes: np.ndarray, base: np.ndarray, limit: int) -> np.ndarray:
         """_merge_short for many units at once: a row of symbol ids each, one step of every row's agenda at a time. -1: no symbol."""
@@ -181,7 +207,7 @@ class PieceModel:
         """segment() of each unit with its key, as little-endian uint32 bytes."""
         out: list[bytes] = [b""] * len(units)
         sizes = np.array([len(u) for u in units], np.int64)
-        base = np.array([zlib.crc32(u.encode()) for u in units], np.uint64) * np.uint64(_K0) ^ np.array(keys, np.uint64)
+        base = np.asarray(keys, np.uint64)
         alone = sizes > SHORT
         for low, high in ((0, 8), (8, 14), (14, SHORT)):
             some = np.flatnonzero((sizes > low) & (sizes <= high))
@@ -270,8 +296,8 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model, dropout, seed)
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
+            for at, stop in byte_runs(whole.column(1), BYTES_AT_ONCE, TEXTS_AT_ONCE):
+                batch = whole.slice(at, stop - at)
                 texts = batch.column(1).to_pylist()
                 ids = enc.encode_all(texts, [enc.key(x, t) for x, t in zip(batch.column(0).to_pylist(), texts)])
                 sizes = pa.compute.binary_length(batch.column(1))

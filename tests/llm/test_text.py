@@ -248,6 +248,61 @@ def test_pieces(documents, texts):
     assert {r.doc_id: r.ids for r in piece_dropout.encode_pieces(documents, PIECES, 0.2, 6).collect()} != {r.doc_id: r.ids for r in rows}
 
 
+def naive_pieces(text, doc_id, seed, dropout):
+    """Merge-dropout by definition, over the whole text at once, with a model read here and draws written out anew."""
+    import hashlib
+
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=PIECES)
+    normal = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    order = sorted(normal, key=lambda p: (-sp.get_score(normal[p]), normal[p]))
+    rank = {p: r for r, p in enumerate(order)}
+    mask = (1 << 64) - 1
+    first = int.from_bytes(hashlib.blake2b(f"{seed}/{doc_id}".encode(), digest_size=8).digest(), "little")
+    out, at, unit = [], 0, 0
+    text = " " + text if text else ""
+    while at < len(text):  # a unit: spaces and what follows up to the next space or line break, or a line break
+        end = at
+        while end < len(text) and text[end] == " ":
+            end += 1
+        if end == at and text[end] == "\n":
+            end += 1
+        else:
+            while end < len(text) and text[end] not in " \n":
+                end += 1
+        unit += 1
+        key = (unit * 0x9E3779B97F4A7C15 + first) & mask
+        key = ((key ^ key >> 30) * 0xBF58476D1CE4E5B9) & mask
+        key = ((key ^ key >> 27) * 0x94D049BB133111EB) & mask
+        key ^= key >> 31
+        parts = [(i, "\u2581" if c == " " else c if c != "\u2581" else "\0") for i, c in enumerate(text[at:end])]
+        refused = set()
+        while True:
+            open_ = [(rank[a[1] + b[1]], a[0], b[0], len(b[1]), k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a[1] + b[1] in rank and (a[0], a[1], b[1]) not in refused]
+            if not open_:
+                break
+            r, i, _, _, k = min(open_)
+            x = (key ^ i * 0x9E3779B97F4A7C15 ^ r * 0xC2B2AE3D27D4EB4F) & mask
+            x = ((x ^ x >> 31) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 29) * 0x94D049BB133111EB) & mask
+            if (x ^ x >> 32) < int(dropout * (1 << 64)):
+                refused.add((parts[k][0], parts[k][1], parts[k + 1][1]))
+            else:
+                parts[k : k + 2] = [(parts[k][0], parts[k][1] + parts[k + 1][1])]
+        for _, p in parts:
+            out += [normal[p]] if p in normal else [sp.piece_to_id(f"<0x{b:02X}>") for b in ("\u2581" if p == "\0" else p).encode()]
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
+def test_pieces_by_definition(frame, texts, dropout):
+    some = {i: t[:600] for i, t in list(texts.items())[:25]} | {900: "a  b\n\n c \u2581 d", 901: "\u00e9\u6f22\U0001f600 x", 902: "interoperability" * 5, 903: ""}
+    got = {r.doc_id: r for r in piece_dropout.encode_pieces(frame(list(some.items())), PIECES, dropout, 7).collect()}
+    assert all(got[i].ids == naive_pieces(t, i, 7, dropout) and got[i].lossless for i, t in some.items())
+
+
 def test_pieces_awkward(frame):
     rows = piece_dropout.encode_pieces(frame(AWKWARD), PIECES, 0.3, 5).collect()
     assert len(rows) == len(AWKWARD) and all(r.lossless for r in rows) and all(r.n_pieces == 0 for r in rows if r.n_bytes == 0)
