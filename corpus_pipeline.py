@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the columns
 of documents. run() writes each stage's result to the shared folder and reads it again before the next, so a lost
 executor costs a re-read, never an earlier stage.
+
+Defined results: null and empty texts pass the classifier, and one of them (the row with the largest id) passes the exact
+dedup; a null id passes the near dedup and draws by its text; null languages and sources count as ''; repeated rows leave
+one; columns beyond those of documents are carried through. Without trusted labels every document passes the classifier.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
