@@ -38,8 +38,8 @@ SKIPPABLE, MAGIC = 0x184D2A5E, 0x5344544B
 ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("frame_bytes", "<u8"), ("n_tokens", "<u8"), ("crc32", "<u4")])
 FOOTER = struct.Struct("<IBI")
 FILE_BYTES = 8 << 20
-CACHE_PIECES = 900_000
-TEXTS_AT_ONCE_BYTES = 4 << 20
+CACHE_PIECES = 800_000
+TEXTS_AT_ONCE_BYTES = 2 << 20
 
 
 class PieceCache:
@@ -66,8 +66,9 @@ class PieceCache:
         # lower-case ASCII letters pass normalisation and byte mapping as they are: the model itself, cut at spaces, will do
         self.words_only = Tokenizer(self.tokenizer.model)
         self.words_only.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.pending: dict[bytes, bytearray] = {}
+        self.young = _Young(self.old, self.pending)
 
     def plain(self, word: bytes) -> bool:
         """Whether it is one word for the tokenizer: letters that normalisation leaves letters."""
@@ -94,7 +95,7 @@ class PieceCache:
         for p, e in zip(pieces, self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)):
             self.young[p] = np.array(e.ids, self.kind).tobytes()
 
-    def _unknown(self, pieces: set[bytes]) -> set[bytes]:
+    def _unknown(self, pieces) -> set[bytes]:
         """Those that neither generation holds; those of the old one are young again."""
         missing = pieces - self.young.keys()
         if self.old:
@@ -103,13 +104,18 @@ class PieceCache:
             missing -= again
         return missing
 
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """A dictionary that holds them all."""
-        if len(self.young) + len(pieces - self.young.keys()) > self.most:
+    def begin(self):
+        """What looks a piece's ids up: a piece that isn't known gets a place that fill() fills. Makes room first."""
+        if len(self.young) > self.most:
             marks = set(self.MARKS)  # pieces that end in marks are made of their words again, without encoding
-            self.young, self.old = {}, {p: ids for p, ids in self.young.items() if p[-1] not in marks or len(p) < 4}
+            self.old = {p: ids for p, ids in self.young.items() if p[-1] not in marks or len(p) < 4}
+            self.young = _Young(self.old, self.pending)
+        return self.young.__getitem__
+
+    def fill(self) -> None:
+        """Encode the pieces that were asked for and not known, and fill their places."""
         ascii_words, words, ended, alone = [], [], [], []
-        for p in self._unknown(pieces):
+        for p in self.pending:
             if self.joinable and p.isalpha() and p.islower():
                 ascii_words.append(p)
             elif self.joinable and (word := p.rstrip(self.MARKS)) and self.plain(word):
@@ -128,7 +134,34 @@ class PieceCache:
         young = self.young
         for p, w, m in ended:
             young[p] = young[w] + young[m]
-        return young
+        for p, place in self.pending.items():
+            place += young[p]
+        self.pending.clear()
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """A dictionary that holds them all."""
+        get = self.begin()
+        for p in pieces:
+            get(p)
+        self.fill()
+        return self.young
+
+
+class _Young(dict):
+    """The younger generation. A piece that it lacks comes from the older one, or gets an empty place to be filled."""
+
+    __slots__ = ("old", "pending")
+
+    def __init__(self, old: dict[bytes, bytes], pending: dict[bytes, bytearray]):
+        self.old, self.pending = old, pending
+
+    def __missing__(self, piece: bytes):
+        if (ids := self.old.get(piece)) is not None:
+            self[piece] = ids
+            return ids
+        if (place := self.pending.get(piece)) is None:
+            place = self.pending[piece] = bytearray()
+        return place
 
 
 _caches: dict = {}
@@ -168,9 +201,11 @@ def encode_frames(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_c
                 # ASCII capitals make no difference to a tokenizer that lowers case; its special tokens are spelt with <|
                 split = [(t.lower() if lower and b"<|" not in t else t).split() for t in texts.slice(begin, stop - begin).to_pylist()]
                 n, crc, frames = [], [], []
-                get = cache.learn(set().union(*split)).__getitem__
-                for words in split:
-                    raw = b"".join(map(get, words)) + end
+                get = cache.begin()
+                found = [list(map(get, words)) for words in split]
+                cache.fill()
+                for ids_of_words in found:
+                    raw = b"".join(ids_of_words) + end
                     n.append(len(raw) // width)
                     crc.append(zlib.crc32(raw))
                     frames.append(pack.compress(raw))
