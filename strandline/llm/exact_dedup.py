@@ -7,8 +7,8 @@ rows only. Counting is by partial aggregation, and the groups are joined back ov
 execution splits a group of any size.
 
 Defined results: a null text counts as empty; all empty texts are one group; null ids sort below all others; of rows
-with the same text and the same largest id one stays, the first in scan order. An empty table gives no rows.
-`docs` must be re-readable in the same row order, as a table is.
+with the same text and the same largest id one stays, the first in scan order; texts of any length are hashed whole. An empty
+table gives no rows. `docs` must be re-readable in the same row order, as a table is.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sieve, sift
+from .shared import cut, sieve, sieve_bits, sift
 
 PREFIX_CHARS = 256
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row per row of `docs`: keep_id, group_size, kept, full_hash (null for texts that an earlier level proved unique), then the `carry` columns (default: none) as a struct `carried`."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, prefix_chars: int = PREFIX_CHARS, hash_col: str | None = None) -> DataFrame:
+    """One row per row of `docs`: keep_id, group_size, kept, full_hash (null for texts that an earlier level proved unique), then the `carry` columns (default: none) as a struct `carried`.
+
+    `hash_col` names a carried column that has the texts' SHA-256 already (of '' for null), so that none is hashed twice.
+    """
     names = carry or []
     base = docs.select(
         F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)]
@@ -33,11 +36,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     prefix = F.when(F.col("_m1"), F.xxhash64(F.substring("_text", 1, prefix_chars)))
     prefixed = level1.withColumn("_ph", prefix)
-    prefixes = prefixed.where("_m1").groupBy("_n", "_ph").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    pair = F.struct("_n", "_ph")
-    level2 = sift(prefixed, pair, sieve(prefixes, pair), "_m2")
+    prefixes = cut(prefixed.where("_m1").groupBy("_n", "_ph").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_n", "_ph"), "prefixes")
+    pair, bits = F.struct("_n", "_ph"), sieve_bits(prefixes.count())
+    level2 = sift(prefixed, pair, sieve(prefixes, pair, bits), "_m2", bits)
 
-    hashed = level2.withColumn("_alive", F.col("_m1") & F.col("_m2")).withColumn("_full", F.when(F.col("_alive"), F.sha2("_text", 256))).drop("_text", "_m1", "_m2", "_ph")
+    full = F.sha2("_text", 256) if hash_col is None else F.col(f"_c{names.index(hash_col)}")
+    hashed = level2.withColumn("_alive", F.col("_m1") & F.col("_m2")).withColumn("_full", F.when(F.col("_alive"), full)).drop("_text", "_m1", "_m2", "_ph")
     alive = hashed.where("_alive")
     ties = alive.groupBy("_n", "_full", "_id").agg(F.count(F.lit(1)).alias("_same"), F.min("_rid").alias("_first"))
     groups = (

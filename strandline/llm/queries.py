@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return exact_groups(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "carried.text_sha256")
+    return exact_groups(docs, carry=["text_sha256"], hash_col="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "carried.text_sha256")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
