@@ -28,7 +28,7 @@ def index_table(spark: SparkSession, sets: dict[str, tuple[str, ...]] | None = N
 def group_samples(groups: DataFrame, index: DataFrame, include_unrecognized: bool) -> DataFrame:
     """`groups` with set_name: the set that its si belongs to, or the si itself for others, if those are included.
 
-    The index table is a fixed dimension (2,400 rows before grouping), so it is broadcast.
+    The built-in index table has 832 rows, but any table may be given, so Spark chooses the join by its size.
     """
-    named = groups.join(F.broadcast(index.select("si", "set_name")), "si", "left" if include_unrecognized else "inner")
+    named = groups.join(index.select("si", "set_name"), "si", "left" if include_unrecognized else "inner")
     return named.withColumn("set_name", F.coalesce("set_name", "si"))

@@ -169,7 +169,7 @@ SQL: dict[str, str] = {
     "trimmed_fastq": f"""{_STREAM} SELECT group_id, ordinal, '@c:' || id || ' 1:N' || chr(10) || substr({_seq("'a' || id")}, 1, 12) || chr(10) || '+' || chr(10) || substr({_qual('id')}, 1, 12) AS text FROM e""",
     "change_dir": f"{_SETS1} SELECT {', '.join(f"'/elsewhere/' || split_part({r}, '/', -1) AS {r}" for r in ('r1', 'r2', 'i1', 'i2'))} FROM sets",
     "fasta_roundtrip": f"SELECT event_id AS id, {_seq('event_id')} AS seq FROM events",
-    "json_adapters": """SELECT * FROM (VALUES ('R1', 'a', 'three_prime', 'anywhere', 'ACGTACGT', 'r1:0:16', 'r1:16:10', true), ('R2', 'b', 'five_prime', 'anchored', 'AAAAAAAA', 'r1:0:16', 'r1:16:10', true))
+    "json_adapters": """SELECT * FROM (VALUES ('R1', 'a', 'three_prime', 'anywhere', 'ACGTACGT', 'r1:0:16', 'r1:16:10', true), ('R2', 'b', 'five_prime', 'anchored', 'AAAAAAAA', NULL, NULL, NULL))
         AS t(read, name, "end", location, seq, barcode, umi, no_rna2)""",
     "fastq_faults": "SELECT 'a sequence holds something else than A, C, G, T or N' AS fault, true AS no_reads",
     "folder_files": "SELECT read, true AS there FROM (VALUES ('R1'), ('R2')) AS t(read)",

@@ -439,9 +439,9 @@ def json_adapters(spark: SparkSession, d: str) -> DataFrame:
     for name, text in (("adapters", adapters), ("chemistry", chemistry)):
         spark.createDataFrame([(text,)], "value string").write.text(f"{folder}/{name}")
     found = fasta.read_adapters(spark, f"{folder}/adapters")
-    ranges = fasta.read_chemistry(spark, f"{folder}/chemistry").select(*[fasta.chemistry_range(x).alias(x) for x in ("barcode", "umi", "rna2")])
+    ranges = fasta.read_chemistry(spark, f"{folder}/chemistry").select(F.lit("R1").alias("read"), *[fasta.chemistry_range(x).alias(x) for x in ("barcode", "umi", "rna2")])
     at = lambda x: F.concat_ws(":", f"{x}.read", f"{x}.offset", f"{x}.len")
-    return found.crossJoin(ranges.select(at("barcode").alias("barcode"), at("umi").alias("umi"), F.col("rna2").isNull().alias("no_rna2")))
+    return found.join(ranges.select("read", at("barcode").alias("barcode"), at("umi").alias("umi"), F.col("rna2").isNull().alias("no_rna2")), "read", "left")
 
 
 def _written(spark: SparkSession, d: str, suffix: str = "fastq.gz", faults: bool = False) -> tuple[str, list[str]]:
