@@ -83,8 +83,8 @@ SQL: dict[str, str] = {
         CASE WHEN id % 11 + id % 5 <= length(s) THEN substr(s, id % 11 + 1, id % 5) END AS varied FROM b""",
     "range_intersect": f"""WITH r AS ({_RANGES}), e AS (SELECT *, least(o1 + n1, o2 + n2) AS e FROM r)
         SELECT id, o1, n1, o2, n2, least(e, greatest(o1, o2)) AS "offset", e - least(e, greatest(o1, o2)) AS len FROM e""",
-    "range_shrink": f"""SELECT id, o1, n1, o1 + 1 AS "offset", CAST(1 AS BIGINT) AS len FROM ({_RANGES}) WHERE n1 >= 2 OR n1 IS NULL""",
-    "range_trim": f"SELECT id, o1 + 3 AS offset5, n1 - 3 AS len5, o1 AS offset3, n1 - 2 AS len3 FROM ({_RANGES}) WHERE n1 >= 3",
+    "range_shrink": f"""SELECT id, o1, n1, o1 + id % 2 AS "offset", id % 4 // 2 AS len FROM ({_RANGES}) WHERE n1 >= 2 OR n1 IS NULL""",
+    "range_trim": f"""SELECT id, o1 + id % 4 AS offset5, n1 - id % 4 AS len5, o1 AS offset3, n1 - id % 3 AS len3 FROM ({_RANGES}) WHERE n1 >= 3 OR n1 IS NULL""",
     "range_packed": f"""SELECT id, o1 * 32768 + coalesce(n1, 32767) AS packed, o1 AS "offset", n1 AS len FROM ({_RANGES})""",
     "seq_validate": f"""WITH b AS ({_SHORT}), t AS (SELECT id, CASE WHEN id % 5 = 0 THEN s || 'x' WHEN id % 7 = 0 THEN lower(s) ELSE s END AS s FROM b)
         SELECT id, regexp_full_match(s, '[ACGTN]*') AS valid, CASE WHEN NOT regexp_full_match(s, '[ACGTN]*') THEN length(regexp_extract(s, '^[ACGTN]*')) END AS bad_at FROM t""",

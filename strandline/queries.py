@@ -59,15 +59,17 @@ def range_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 def range_shrink(spark: SparkSession, d: str) -> DataFrame:
     rows = _ranges(spark, d).where("n1 >= 2 or n1 is null")
-    o, n = R.shrink_columns("o1", "n1", F.lit(1), F.lit(2))
+    start = (F.col("id") % 2).cast("int")
+    o, n = R.shrink_columns("o1", "n1", start, start + F.floor(F.col("id") % 4 / 2).cast("int"))
     return rows.select("id", "o1", "n1", o.cast("long").alias("offset"), n.cast("long").alias("len"))
 
 
 def range_trim(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ranges(spark, d).where("n1 >= 3")
-    o5, n5 = R.trim_columns("o1", "n1", "five_prime", 3)
-    o3, n3 = R.trim_columns("o1", "n1", "three_prime", 2)
-    return rows.select("id", o5.alias("offset5"), n5.alias("len5"), o3.alias("offset3"), n3.alias("len3"))
+    """Closed and open ranges; an open one has no end to trim, but nothing may be trimmed off it."""
+    rows = _ranges(spark, d).where("n1 >= 3 or n1 is null")
+    o5, n5 = R.trim_columns("o1", "n1", "five_prime", F.col("id") % 4)
+    o3, n3 = R.trim_columns("o1", "n1", "three_prime", F.when(F.col("n1").isNull(), 0).otherwise(F.col("id") % 3))
+    return rows.select("id", *[c.cast("long").alias(name) for c, name in ((o5, "offset5"), (n5, "len5"), (o3, "offset3"), (n3, "len3"))])
 
 
 def range_packed(spark: SparkSession, d: str) -> DataFrame:
