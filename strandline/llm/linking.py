@@ -74,9 +74,9 @@ def link_groups(live: DataFrame, confirm: Callable[[DataFrame], DataFrame], with
 
     Every pair of one bucket for which fits(size, size) holds is confirmed, refused, or left out because its ends are in
     one component already; so no link is lost that matters. First each member meets one head, the smallest of its buckets'
-    heads, by confirm(pairs a, b) -> links a, b; then the heads of those of its buckets that are still mixed; and as a rule
-    that makes a bucket one component. Small buckets that stay mixed give their open pairs. Large ones are dealt in blocks
-    of about `block` by weight(size), each block meeting each other once, and within(rows) -> links a, b looks at the pairs
+    heads, by confirm(pairs a, b) -> links a, b; as a rule that makes a bucket one component. Of the buckets that are still
+    mixed small ones give their open pairs, and in large ones members meet their own bucket's head. Large ones that stay
+    mixed even then are dealt in blocks of about `block` by weight(size), each block meeting each other once, and within(rows) -> links a, b looks at the pairs
     of different labels in place: no row is made for a pair that isn't a link. Its rows have bucket, i, j (the blocks that
     meet), part (i or j: pairs of one part count only where i = j), id, size and label.
 
@@ -93,15 +93,14 @@ def link_groups(live: DataFrame, confirm: Callable[[DataFrame], DataFrame], with
     rest = _mixed(live, components(links))
     if not rest.isEmpty():
         heads = rest.where("id = head").select("bucket", F.col("size").alias("head_size"), F.col("label").alias("head_label"))
-        star = spread_join(rest.where("id <> head"), heads, ["bucket"]).where(fits(F.col("size"), F.col("head_size")) & (F.col("label") != F.col("head_label")))
-        again = star.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        links = cut(links.unionByName(confirm(again)), "links")
-        rest = _mixed(rest, components(links))
-    little = rest.where(F.col("n") <= SMALL)
-    if not little.isEmpty():
-        other = little.where("id <> head").select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-        pairs = little.where("id <> head").join(other, "bucket").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits(F.col("size"), F.col("size_b")))
-        links = cut(links.unionByName(confirm(pairs.select(F.col("id").alias("a"), "b").distinct())), "links")
+        star = spread_join(rest.where(F.col("n") > SMALL).where("id <> head"), heads, ["bucket"]).where(fits(F.col("size"), F.col("head_size")) & (F.col("label") != F.col("head_label")))
+        little = rest.where(F.col("n") <= SMALL)
+        other = little.select("bucket", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+        open_ = little.join(other, "bucket").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits(F.col("size"), F.col("size_b")))
+        ordered = [F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")]
+        pairs = star.select(*ordered).unionByName(open_.select(F.col("id").alias("a"), "b")).distinct()
+        seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = cut(links.unionByName(confirm(pairs.join(seen, ["a", "b"], "left_anti"))), "links")
     found = components(links)
     rest = _mixed(rest.where(F.col("n") > SMALL), found)
     if rest.isEmpty():
