@@ -98,6 +98,22 @@ def test_near_groups_of_many_variants(frame, monkeypatch, small, block):
     assert got == {i: (len(sets[i]), comp[i]) for i in comp}
 
 
+def test_boilerplate(frame, monkeypatch):
+    """Many documents about one text, far below the threshold from each other, and a few links among them: as by brute force."""
+    rng = np.random.default_rng(12)
+    common, rows = [f"b{k}" for k in range(300)], []
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 200_000)
+    for i in range(160):
+        own = [f"v{rng.integers(1 << 40)}" for _ in range(110 + i % 7)]
+        rows.append((i, " ".join(common + own)))
+        if i % 20 == 0:  # a near copy
+            own[5] = "other"
+            rows.append((1000 + i, " ".join(common + own)))
+    sets, comp = brute_near(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_groups(frame(rows)).collect()}
+    assert got == {i: (len(sets[i]), comp[i]) for i in comp} and sum(comp[i] != i for i in comp) == 8
+
+
 def test_near_awkward(frame):
     rows = {r.doc_id: r for r in minhash_dedup.near_groups(frame(AWKWARD)).collect()}
     assert [(rows[i].n_shingles, rows[i].component_id, rows[i].kept) for i in (1, 2, 3)] == [(0, i, True) for i in (1, 2, 3)]
