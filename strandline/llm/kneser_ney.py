@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-Training reads a bounded sample of trusted documents (`per_lang` of each language, in expectation), four fifths to count
-and one fifth to calibrate. The counts of the highest order, the continuation counts of the lower ones, the discounts
+Training reads every trusted document, four fifths to count and one fifth to calibrate; a caller may bound it to a sample
+(`per_lang` of each language, in expectation). The counts of the highest order, the continuation counts of the lower ones, the discounts
 from the counts of counts, context totals and interpolated probabilities are joins and aggregations of tables hashed by
 n-gram or context. Symbols are the bytes of UTF-8, so no character of any script is folded into another, and no n-gram is
 pruned. The tables stay in the shared folder, dealt to shards by the last two symbols of the context: an n-gram, its
@@ -10,10 +10,12 @@ shorter forms and all their contexts fall into one shard (tables of at most two
 Scoring covers all documents and whole texts, by a sharded join: a block of documents sends each shard its distinct n-grams
 as packed columns, the shard looks up log P of each, from the highest order down, and sends them back, and the block
 sums them per document. No task or driver holds more of the model than a shard. Texts are packed and dealt to blocks once.
+The more shards, the more blocks meet one copy of a shard, so that copies of the model grow with the input, not its square.
 
 A document's perplexity is shrunk to its language's mean by `prior` symbols, or chance would decide on short texts. A
 language's threshold is the `quantile` of its calibration documents' perplexities, times `slack`. Languages without
-calibration documents take the pooled threshold.
+calibration documents take the pooled threshold. Quantiles are exact: by counts of narrow bins, then by rank in the bins
+that hold the wanted ranks.
 
 Defined results: null and empty texts have no symbols, take the language's mean and are kept; null languages count as
 the language ''; without trusted text every document is kept, with null figures; null ids are kept as they are; long texts
@@ -28,24 +30,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .backoff_lm import RUN_BYTES, _texts, pack, packed_runs, unpack
 from .linking import spread_join
 from .minhash_dedup import _mix
-from .shared import cut, sieve, sift, unit, without
+from .shared import cut, sieve, sieve_bits, sift, unit, without
 
 ORDER = 5
 START = 255  # no byte of UTF-8
-PER_LANG = 2000
 PRIOR = 60.0
 QUANTILE, SLACK = 0.995, 1.1
 CHUNK = 1 << 20
 BLOCK_BYTES = 8 << 20
 SHARD_NGRAMS = 250_000
-#: Blocks that meet a copy of a shard of the model in one task.
-TOGETHER = 32
+#: Blocks that meet a copy of a shard of the model in one task, at least, and for each shard.
+TOGETHER, TOGETHER_SHARD = 32, 4
+#: N-grams that a counting task merges before it sends them on, and those of one batch.
+MERGE, BATCH = 1 << 22, 1 << 17
+#: Bins of the natural logarithm of perplexities, for quantiles.
+BINS = 1024
 
 
 @dataclass
@@ -182,8 +187,9 @@ def log_probs(docs: DataFrame, model: Model, key: Column, text_col: str = "text"
         total, count = block.sums(logp)
         return pa.table([rows.column("ids").combine_chunks().flatten(), pa.array(count), pa.array(total)], names=["key", "n", "logp"])
 
-    sent = dealt.groupBy("block").applyInArrow(explode, "block long, shard long, n long, codes binary").withColumn("set", F.floor(F.col("block") / TOGETHER))
-    sets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // TOGETHER).cast("long")))
+    together = max(TOGETHER, TOGETHER_SHARD * shards)
+    sent = dealt.groupBy("block").applyInArrow(explode, "block long, shard long, n long, codes binary").withColumn("set", F.floor(F.col("block") / together))
+    sets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // together).cast("long")))
     copies = model.tables.select(sets.alias("set"), "*")
     back = sent.groupBy("set", "shard").cogroup(copies.groupBy("set", "shard")).applyInArrow(look_up, "block long, shard long, n long, logp binary")
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, "key long, n long, logp double")
@@ -196,22 +202,38 @@ def _unpacked(rows: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndar
     return out
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, per_lang: int, seed: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """doc_id, lang, text, calibrate: a sample of about `per_lang` trusted documents of each language, by keyed hash of the id."""
+def trusted_sample(docs: DataFrame, labels: DataFrame, per_lang: int | None, seed: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, lang, text, calibrate of all trusted documents, or of about `per_lang` of each language, by keyed hash of the id."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")
-    pool = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), lang).join(good, "doc_id"), "pool")
-    sizes = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = pool.join(sizes, "lang").where(unit(F.lit(seed), F.col("doc_id")) * F.col("n") < per_lang).select(F.col("doc_id").alias("id")).distinct()
-    chosen = cut(chosen, "chosen")
+    if per_lang is None:
+        chosen = cut(good.select(F.col("doc_id").alias("id")), "chosen")
+    else:
+        pool = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), lang).join(good, "doc_id"), "pool")
+        sizes = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+        chosen = pool.join(sizes, "lang").where(unit(F.lit(seed), F.col("doc_id")) * F.col("n") < per_lang).select(F.col("doc_id").alias("id")).distinct()
+        chosen = cut(chosen, "chosen")
+    bits = sieve_bits(chosen.count())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    near = sift(texts, F.col("doc_id"), sieve(chosen, F.col("id")), "hit").where("hit").drop("hit")
+    near = sift(texts, F.col("doc_id"), sieve(chosen, F.col("id"), bits), "hit", bits).where("hit").drop("hit")
     rows = near.join(chosen, F.col("doc_id") == F.col("id"), "left_semi")
     return cut(rows.withColumn("calibrate", unit(F.lit(seed + 1), F.col("doc_id")) < 0.2), "trusted")
 
 
 def _counts(texts: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            n = np.zeros(len(codes), np.int64)
+            np.add.at(n, where, np.concatenate([n for _, n in held]))
+            return codes, n
+
+        def sent(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(codes), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + BATCH].view(np.int64)), pa.array(n[i : i + BATCH])], names=["code", "n"])
+
         for whole in batches:
             texts = whole.column(0).cast(pa.binary()).to_pylist()
             at = 0
@@ -221,8 +243,15 @@ def _counts(texts: DataFrame, order: int) -> DataFrame:
                     size += len(texts[stop])
                     stop += 1
                 codes, n = np.unique(ngram_codes(texts[at:stop], order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+                held.append((codes, n.astype(np.int64)))
                 at = stop
+                if sum(len(c) for c, _ in held) > MERGE:
+                    held = [merged()]
+                    if len(held[0][0]) > MERGE // 2:
+                        yield from sent(*held[0])
+                        held = []
+        if held:
+            yield from sent(*merged())
 
     return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -235,7 +264,7 @@ def discounts(of: list[int]) -> tuple[float, float, float]:
 
 
 def train(texts: DataFrame, order: int = ORDER, shard_ngrams: int = SHARD_NGRAMS) -> Model:
-    """The model of `texts` (a bounded sample: column text)."""
+    """The model of `texts` (column text), of any number."""
     if not 2 <= order <= 7:
         raise ValueError("order must be from 2 to 7")
     counts = {order: cut(_counts(texts, order), "counts")}
@@ -292,7 +321,7 @@ def _sharded(rows: DataFrame, shards: int) -> DataFrame:
     return cut(dealt.groupBy("shard", "k", "kind").applyInArrow(pack_table, "shard long, k int, kind int, n long, codes binary, values binary"), "model")
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, per_lang: int = PER_LANG, prior: float = PRIOR, quantile: float = QUANTILE, slack: float = SLACK, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, per_lang: int | None = None, prior: float = PRIOR, quantile: float = QUANTILE, slack: float = SLACK, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model with each language's mean and threshold; None without trusted text."""
     sample = trusted_sample(docs, labels, per_lang, seed, id_col, text_col, lang_col)
     counting = sample.where("not calibrate and text <> ''")
@@ -304,17 +333,34 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, per_lang: int =
     scored = log_probs(held, model, F.col("doc_id")).join(held.select(F.col("doc_id").alias("key"), "lang").distinct(), "key")
     scored = cut(scored.select("lang", "n", "logp"), "calibration")
 
-    def levels(by: list[str]) -> DataFrame:
-        mean = scored.groupBy(*by).agg((-F.sum("logp") / F.sum("n")).alias("mean"))
-        rows = scored.join(mean, by) if by else scored.withColumn("mean", F.lit(mean.first()[0]))
-        ppl = F.exp((prior * F.col("mean") - F.col("logp")) / (F.col("n") + prior))
-        return rows.groupBy(*by, "mean").agg((F.percentile(ppl, F.lit(quantile)) * slack).alias("limit"))
+    def levels(rows: DataFrame) -> DataFrame:
+        mean = rows.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"))
+        ppl = F.exp((prior * F.col("mean") - F.col("logp")) / (F.col("n") + prior)).alias("x")
+        limits = quantiles(rows.join(F.broadcast(mean), "lang").select("lang", ppl), quantile)
+        return mean.join(limits, "lang").select("lang", "mean", (F.col("x") * slack).alias("limit"))
 
-    model.pooled = tuple(levels([]).select("mean", "limit").first())
-    model.levels = cut(levels(["lang"]).select("lang", "mean", "limit"), "levels")
+    model.pooled = tuple(levels(scored.withColumn("lang", F.lit(""))).select("mean", "limit").first())
+    model.levels = cut(levels(scored), "levels")
     return model
 
 
+def quantiles(rows: DataFrame, quantile: float) -> DataFrame:
+    """lang and x, the exact quantile (between neighbours in proportion) of the positive x of each lang.
+
+    Only counts of bins are gathered, and the rows of the one or two bins that hold the wanted ranks are sorted.
+    """
+    rows = rows.withColumn("bin", F.floor(F.log("x") * BINS))
+    bins = rows.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("lang")
+    bins = bins.withColumns({"before": F.sum("n").over(by.orderBy("bin")) - F.col("n"), "at": (F.sum("n").over(by) - 1) * F.lit(quantile)})
+    bins = bins.where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("n") > F.floor("at"))).drop("n")
+    near = rows.join(F.broadcast(bins), ["lang", "bin"])
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("lang", "bin").orderBy("x")) - 1
+    ranked = near.withColumn("rank", rank).where((F.col("rank") == F.floor("at")) | (F.col("rank") == F.ceil("at")))
+    low, high = F.min("x"), F.max("x")
+    return ranked.groupBy("lang", "at").agg((low + (high - low) * (F.col("at") - F.floor("at"))).alias("x")).drop("at")
+
+
 def _judged(docs: DataFrame, model: Model, prior: float, text_col: str, lang_col: str) -> DataFrame:
     """key (all that decides: language and text), logp, n, ppl, limit and kept, one row per row of `docs`."""
     rows = log_probs(docs, model, _key(text_col, lang_col), text_col)

@@ -96,6 +96,27 @@ def test_quality_by_brute_force(spark, frame):
     assert not any(got[i].kept for i in range(100, 106)) and sum(got[i].kept for i in range(60)) > 50
 
 
+def test_quality_trains_on_every_trusted_document(spark, frame, monkeypatch):
+    docs = frame([(i, f"line {i} of some trusted text") for i in range(2600)]).withColumn("lang", F.lit("a"))
+    labels = spark.range(2600).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    counted, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda texts, order: counted.extend(r.doc_id for r in texts.select("doc_id").collect()) or train(texts, order))
+    monkeypatch.setattr(kneser_ney, "MERGE", 500)
+    held = kneser_ney.trusted_sample(docs, labels, None, 11, "doc_id", "text", "lang").where("calibrate").select("doc_id").collect()
+    model = kneser_ney.fit(docs, labels, 3)
+    assert sorted(counted + [r.doc_id for r in held]) == list(range(2600)) and 2000 < len(counted) < 2200
+    assert model.levels.count() == 1
+
+
+@pytest.mark.parametrize("quantile", [0, 0.3, 0.995, 1])
+def test_exact_quantiles(spark, quantile):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.lognormal(2, 1, 3000), "b": rng.lognormal(2, 1e-4, 501), "c": np.array([7.0]), "d": np.array([2.0] * 9 + [3.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "lang string, x double")
+    got = {r.lang: r.x for r in kneser_ney.quantiles(rows, quantile).collect()}
+    assert got.keys() == groups.keys() and all(math.isclose(got[k], np.quantile(v, quantile), rel_tol=1e-9) for k, v in groups.items())
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     seen, unseen = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
