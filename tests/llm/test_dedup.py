@@ -287,3 +287,19 @@ def test_edits_decide(frame, monkeypatch, small, block):
         rows.append((200 + i, " ".join(words)))
     got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(frame(rows)).collect()}
     assert got == {i: [0] for i, _ in rows if i >= 100}
+
+
+@pytest.mark.parametrize("block", [5, 512])
+def test_alike_lines_about_a_common_passage(frame, monkeypatch, block):
+    """Lines that share nothing but runs of a passage that many lines hold: those that are alike are found, in large buckets too."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwxyz"), rng.integers(3, 9)))
+    passage, rows = [word() for _ in range(30)], []
+    for i in range(40):
+        rest = [word() for _ in range(14)]
+        rows.append((i, " ".join(passage + rest)))
+        if i % 2:
+            rows.append((100 + i, " ".join(passage + [w if k % 2 else w[:1] + "q" + w[2:] for k, w in enumerate(rest)])))
+    got = {r.doc_id for r in line_dedup.dropped_lines(frame(rows)).collect()}
+    assert got <= {100 + i for i in range(1, 40, 2)} and len(got) >= 19
