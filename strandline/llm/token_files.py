@@ -114,29 +114,35 @@ class PieceCache:
 
     def fill(self) -> None:
         """Encode the pieces that were asked for and not known, and fill their places."""
+        young, old, pending, marks = self.young, self.old, self.pending, self.MARKS
         ascii_words, words, ended, alone = [], [], [], []
-        for p in self.pending:
-            if self.joinable and p.isalpha() and p.islower():
-                ascii_words.append(p)
-            elif self.joinable and (word := p.rstrip(self.MARKS)) and self.plain(word):
+        for p in pending if self.joinable else ():
+            if p.isalpha():
+                (ascii_words if p.islower() else words).append(p)
+            elif (word := p.rstrip(marks)) and (word.isalpha() or self.plain(word)):
                 if len(word) == len(p):
                     words.append(p)
                 else:
-                    ended.append((p, word, p[len(word) :]))
+                    ended.append((p, word))
             else:
                 alone.append(p)
-        self._encode_alone(alone)
-        bare = self._unknown({w for _, w, _ in ended}).difference(ascii_words, words)
-        own = {w for w in bare if w.isalpha() and w.islower()}
-        self._encode(ascii_words + list(own), self.words_only)
-        self._encode(words + list(bare - own), self.tokenizer)
-        self._encode_alone(list(self._unknown({m for _, _, m in ended})))
-        young = self.young
-        for p, w, m in ended:
-            young[p] = young[w] + young[m]
-        for p, place in self.pending.items():
+        self._encode_alone(alone if self.joinable else list(pending))
+        bare = set()
+        for _, w in ended:
+            if w not in young and w not in pending and w not in bare:
+                if (ids := old.get(w)) is not None:
+                    young[w] = ids
+                else:
+                    bare.add(w)
+                    (ascii_words if w.isalpha() and w.islower() else words).append(w)
+        self._encode(ascii_words, self.words_only)
+        self._encode(words, self.tokenizer)
+        self._encode_alone(list(self._unknown({p[len(w) :] for p, w in ended})))
+        for p, w in ended:
+            young[p] = young[w] + young[p[len(w) :]]
+        for p, place in pending.items():
             place += young[p]
-        self.pending.clear()
+        pending.clear()
 
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """A dictionary that holds them all."""

@@ -429,6 +429,17 @@ def test_frames_are_plain_zstandard_and_checked(documents, tmp_path):
     assert sum(len(open(p, "rb").read()) for p in paths) == sum(len(r.payload) for r in files.collect())
 
 
+def test_ascii_words_with_marks_are_not_decoded(monkeypatch):
+    pieces = {b"word", b"word,", b"other.", b"third...", b"b7,", "\u00e9t\u00e9".encode(), "\u00e9t\u00e9!".encode(), b"?!", b"x's"}
+    asked, plain = [], token_files.PieceCache.plain
+    monkeypatch.setattr(token_files.PieceCache, "plain", lambda self, word: asked.append(word) or plain(self, word))
+    cache = token_files.PieceCache(WORD_BPE, 2)
+    found = cache.learn(pieces)
+    for p in pieces:
+        assert np.frombuffer(bytes(found[p]), "<u2").tolist() == cache.tokenizer.encode(p.decode(), add_special_tokens=False).ids
+    assert not {b"word", b"other", b"third"} & set(asked)
+
+
 def test_small_piece_cache_changes_nothing(texts):
     a, b = token_files.PieceCache(WORD_BPE, 2), token_files.PieceCache(WORD_BPE, 2, most=400)
     for t in list(texts.values())[:60]:
