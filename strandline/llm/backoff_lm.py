@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash_dedup import _mix, byte_runs, text_words
-from .shared import cut
+from .shared import cut, released
 
 ORDER = 3
 ALPHA = 0.4
@@ -129,7 +129,7 @@ def packed_runs(docs: DataFrame, id_col: str, text_col: str, run_bytes: int = RU
                 yield pa.RecordBatch.from_arrays([one(pa.concat_arrays([ids])), one(pa.array([len(t) for t in texts], pa.int64())), pa.array([raw], pa.binary())], names=["ids", "sizes", "texts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(pack_texts, "ids array<long>, sizes array<long>, texts binary")
+    return rows.mapInArrow(released(pack_texts), "ids array<long>, sizes array<long>, texts binary")
 
 
 def _texts(runs: pa.Table) -> list[bytes]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .backoff_lm import RUN_BYTES, _texts, pack, packed_runs, unpack
 from .linking import spread_join
 from .minhash_dedup import _mix
-from .shared import cut, sieve, sieve_bits, sift, unit, without
+from .shared import cut, released, sieve, sieve_bits, sift, unit, without
 
 ORDER = 5
 START = 255  # no byte of UTF-8
@@ -48,7 +48,7 @@ SHARD_NGRAMS = 250_000
 #: Blocks that meet a copy of a shard of the model in one task, at least, and for each shard.
 TOGETHER, TOGETHER_SHARD = 32, 4
 #: N-grams that a counting task merges before it sends them on, and those of one batch.
-MERGE, BATCH = 1 << 22, 1 << 17
+MERGE, BATCH = 1 << 20, 1 << 17
 #: Bins of the natural logarithm of perplexities, for quantiles.
 BINS = 1024
 
@@ -188,11 +188,11 @@ def log_probs(docs: DataFrame, model: Model, key: Column, text_col: str = "text"
         return pa.table([rows.column("ids").combine_chunks().flatten(), pa.array(count), pa.array(total)], names=["key", "n", "logp"])
 
     together = max(TOGETHER, TOGETHER_SHARD * shards)
-    sent = dealt.groupBy("block").applyInArrow(explode, "block long, shard long, n long, codes binary").withColumn("set", F.floor(F.col("block") / together))
+    sent = dealt.groupBy("block").applyInArrow(released(explode), "block long, shard long, n long, codes binary").withColumn("set", F.floor(F.col("block") / together))
     sets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // together).cast("long")))
     copies = model.tables.select(sets.alias("set"), "*")
-    back = sent.groupBy("set", "shard").cogroup(copies.groupBy("set", "shard")).applyInArrow(look_up, "block long, shard long, n long, logp binary")
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, "key long, n long, logp double")
+    back = sent.groupBy("set", "shard").cogroup(copies.groupBy("set", "shard")).applyInArrow(released(look_up), "block long, shard long, n long, logp binary")
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(released(score), "key long, n long, logp double")
 
 
 def _unpacked(rows: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -253,7 +253,7 @@ def _counts(texts: DataFrame, order: int) -> DataFrame:
         if held:
             yield from sent(*merged())
 
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(released(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def discounts(of: list[int]) -> tuple[float, float, float]:
@@ -317,8 +317,8 @@ def _sharded(rows: DataFrame, shards: int) -> DataFrame:
         columns = [pa.array([shard], pa.int64()), pa.array([k], pa.int32()), pa.array([kind], pa.int32()), pa.array([len(by)], pa.int64()), pa.array([pack(np.diff(codes[by], prepend=np.uint64(0)))], pa.binary()), pa.array([values], pa.binary())]
         return pa.table(columns, names=["shard", "k", "kind", "n", "codes", "values"])
 
-    dealt = rows.mapInArrow(deal, "shard long, k int, kind int, code long, x double")
-    return cut(dealt.groupBy("shard", "k", "kind").applyInArrow(pack_table, "shard long, k int, kind int, n long, codes binary, values binary"), "model")
+    dealt = rows.mapInArrow(released(deal), "shard long, k int, kind int, code long, x double")
+    return cut(dealt.groupBy("shard", "k", "kind").applyInArrow(released(pack_table), "shard long, k int, kind int, n long, codes binary, values binary"), "model")
 
 
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, per_lang: int | None = None, prior: float = PRIOR, quantile: float = QUANTILE, slack: float = SLACK, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:

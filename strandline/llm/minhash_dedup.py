@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link_groups, live_buckets, spread_join
-from .shared import cut, drop_cut, sieve, sieve_bits, sift, without
+from .shared import cut, drop_cut, released, sieve, sieve_bits, sift, without
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -230,7 +230,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), mask=none)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), longs(h1), longs(h2), lists(bands_of(mins)), lists(sketches_of(mins))], names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, SIGNATURE)
+    return _rows(docs, id_col, text_col).mapInArrow(released(run), SIGNATURE)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -244,7 +244,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
 
     bits = sieve_bits(ids.count())
     rows = sift(_rows(docs, id_col, text_col), F.col("doc_id"), sieve(ids, F.col("id"), bits), "hit", bits).where("hit").drop("hit")
-    return rows.mapInArrow(run, "doc_id long, set binary")
+    return rows.mapInArrow(released(run), "doc_id long, set binary")
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,7 +278,7 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, id_col: s
 
     with_sets = spread_join(near, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
     with_sets = spread_join(with_sets, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
-    links = cut(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "confirmed")
+    links = cut(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(released(run), "a long, b long"), "confirmed")
     for table in (near, ids, sets):
         drop_cut(table)
     return links

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash_dedup import byte_runs
+from .shared import released
 
 SPACE = "▁"
 LITERAL = "\x00▁"  # a symbol for U+2581 in the text: no piece holds it
@@ -312,7 +313,7 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, lossless boolean, ids array<int>")
+    return rows.mapInArrow(released(run), "doc_id long, n_bytes long, n_pieces long, lossless boolean, ids array<int>")
 
 
 def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:

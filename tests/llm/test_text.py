@@ -108,6 +108,19 @@ def test_quality_trains_on_every_trusted_document(spark, frame, monkeypatch):
     assert model.levels.count() == 1
 
 
+def test_workers_give_memory_back(monkeypatch):
+    from strandline.llm import shared
+
+    freed = []
+    monkeypatch.setattr(shared, "release", lambda: freed.append(1))
+
+    def rows(batches):
+        yield from batches
+
+    assert list(shared.released(rows)([1, 2])) == [1, 2] and len(freed) == 1
+    assert shared.released(lambda x: x + 1)(1) == 2 and shared.released(lambda x, y: x + y)(1, 2) == 3 and len(freed) == 3
+
+
 @pytest.mark.parametrize("quantile", [0, 0.3, 0.995, 1])
 def test_exact_quantiles(spark, quantile):
     rng = np.random.default_rng(5)
