@@ -160,6 +160,15 @@ LINES = [
 ]
 
 
+def test_short_lines_are_compared_within_their_limit(spark, monkeypatch):
+    limits, cost = {}, line_dedup.edit_cost
+    monkeypatch.setattr(line_dedup, "edit_cost", lambda pairs: limits.update({r.a: (r.most, r.limit) for r in pairs.collect()}) or cost(pairs))
+    short, long = "some words of a line that is short 000", "many words " * 20
+    pairs = spark.createDataFrame([(1, 2, short, short.replace("0", "x")), (3, 4, long.strip(), long.strip() + " more"), (5, 6, short, short.replace("some words", "many turns"))], "a long, b long, x string, y string")
+    assert sorted(r.a for r in line_dedup._alike(pairs, 85).collect()) == [1, 3]
+    assert limits[1] == limits[5] == (5, 5) and limits[3][1] == limits[3][0] * 3 // 2
+
+
 def test_lines(frame):
     rows = {(r.doc_id, r.line_no, r.row): r.kept for r in line_dedup.line_groups(frame(LINES)).collect()}
     assert {(i, n) for (i, n, _), kept in rows.items() if not kept} == {(2, 0), (3, 0), (3, 1), (7, 1)} and len(rows) == 13
