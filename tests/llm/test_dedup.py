@@ -312,3 +312,40 @@ def test_alike_lines_about_a_common_passage(frame, monkeypatch, block):
             rows.append((100 + i, " ".join(passage + [w if k % 2 else w[:1] + "q" + w[2:] for k, w in enumerate(rest)])))
     got = {r.doc_id for r in line_dedup.dropped_lines(frame(rows)).collect()}
     assert got <= {100 + i for i in range(1, 40, 2)} and len(got) >= 19
+
+
+def test_no_pair_is_left_out_by_runs_of_characters(spark, monkeypatch):
+    """Short lines of one bucket: only pairs that can be alike are compared, and all that are alike are found."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnorstué"), rng.integers(2, 8)))
+    lines = {"x", "ab", "abc"}
+    for i in range(60):
+        line = " ".join(word() for _ in range(rng.integers(2, 14)))[:95].strip()
+        chars = list(line)
+        for at in rng.integers(0, len(chars), rng.integers(1, max(2, len(chars) * 15 // 100))):
+            chars[at] = str(rng.choice(list("qz ")))
+        lines |= {line, re.sub(" +", " ", "".join(chars)).strip()}
+    lines = sorted(lines)
+    norms = spark.createDataFrame(list(enumerate(lines)), "key long, norm string")
+    norms = norms.withColumns({c: F.expr(x) for c, x in zip(("marks", "longest"), line_dedup.word_marks("norm"))})
+    rows = norms.selectExpr("7L bucket", "0 i", "0 j", "0 part", "key id", "length(norm) size", "key label")
+    seen, alike = [], line_dedup._alike
+    monkeypatch.setattr(line_dedup, "_alike", lambda pairs, percent: seen.append(pairs.count()) or alike(pairs, percent))
+    got = {tuple(sorted((r.a, r.b))) for r in line_dedup._confirmed_within(rows, norms, 85).collect()}
+    assert got == {(b, a) for a, b in alike_pairs(lines)} and len(got) > 30
+    assert seen[0] < 3 * len(got)
+
+
+def test_marks_of_words_spare_long_lines_the_comparison(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    line = " ".join(f"word{k}" for k in range(40))
+    others = [line.replace("word7 ", "other "), "one more " + line, line.replace("word1", "wrd1"), " ".join(f"w{k}" for k in range(100))]
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, line, x) for i, x in enumerate(others)], "a long, b long, x string, y string")
+    marked = pairs.withColumns({f"{c}_{n}": F.expr(e) for n in "xy" for c, e in zip(("marks", "longest"), line_dedup.word_marks(n))})
+    sure, cost = {}, line_dedup.edit_cost
+    monkeypatch.setattr(line_dedup, "edit_cost", lambda pairs: sure.update({r.a: r.sure for r in pairs.collect()}) or cost(pairs))
+    assert sorted(r.a for r in line_dedup._alike(marked, 85).collect()) == [0, 2, 4]
+    assert sure[0] and sure[2] and not sure[4] and not sure.get(6)
